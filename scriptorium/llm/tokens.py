@@ -19,6 +19,8 @@ _LONGEST = 64
 #: Latin letters, then ASCII marks without the apostrophe: the vocabulary always cuts
 #: between the two, and lower-cases these letters one by one, as str.lower does.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A mark that ends in . or , at a word's end: such a run is one token's worth and stays whole.
+_RUN = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,](?: |\Z)")
 _LOWER = re.compile(r"[a-zß-öø-ÿ]+")
 
 
@@ -33,18 +35,18 @@ def splits_at_blanks(path: str) -> bool:
 class WordEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes.
 
-    Null texts count as empty and give no ids. ``words`` maps words as they stand,
-    ``parts`` lower-cased letters and runs of marks, of which words are put together.
-    Each starts afresh once it holds ``most`` entries, which costs time and changes no
+    Null texts count as empty and give no ids. The table holds words as they stand and
+    the parts (small letters, runs of marks) that words are put together from. It starts
+    afresh once it would hold over ``most`` entries, which costs time and changes no
     result.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         if not splits_at_blanks(path):
             raise ValueError(f"{path} merges across white space")
-        self.most, self.words, self.parts = most, {"": b""}, {"": b""}
+        self.most, self.words = most, {"": b""}
         self.full, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         # for letters that are normal and whole already: the same merges without the steps before them
         self.bare.normalizer = normalizers.Sequence([])
@@ -65,35 +67,61 @@ class WordEncoder:
         return out
 
     def _spell(self, words: list[str]) -> dict[str, bytes]:
-        """ids of words not in the table."""
-        cut = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in words}
-        new = [p for p in dict.fromkeys(p for two in cut.values() for p in two) if p not in self.parts]
-        bare = [p for p in new if _LOWER.fullmatch(p)]
-        learned = self._learn(self.bare, bare) | self._learn(self.full, [p for p in new if not _LOWER.fullmatch(p)])
-        if len(self.parts) + len(learned) > self.most:
-            self.parts = {p: self.parts[p] for two in cut.values() for p in two if p in self.parts}
-        self.parts.update(learned)
-        out = {w: self.parts[a] + self.parts[b] for w, (a, b) in cut.items()}
-        for p in learned:
-            if len(p) > _LONGEST:
-                del self.parts[p]
-        return out
+        """ids of words not in the table, and of the parts they were put together from."""
+        cut = {w: (m[1].lower(), m[2]) for w in words if not _LOWER.fullmatch(w) and (m := _PLAIN.fullmatch(w))}
+        new = {p for two in cut.values() for p in two if p not in self.words} | {w for w in words if w not in cut}
+        bare = {p for p in new if _LOWER.fullmatch(p)}
+        out = self._learn(self.bare, list(bare)) | self._learn(self.full, list(new - bare))
+        get = lambda p: self.words[p] if p in self.words else out[p]
+        return out | {w: get(a) + get(b) for w, (a, b) in cut.items()}
+
+    @staticmethod
+    def _split(text: str | None) -> list[str]:
+        """Words of a text; where that cannot change its ids, in small letters and with . and , by themselves."""
+        if not text:
+            return []
+        text = text.replace("\n", " ")
+        if _is_latin(text) and "<|" not in text:
+            text = text.lower()
+            if not _RUN.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+                if text[-1] in ".,":
+                    text = f"{text[:-1]} {text[-1]}"
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         done: list[bytes] = []
         for at in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 64]]
-            if len(self.words) + len(used := set().union(*split)) > self.most:
-                self.words = {"": b""}
-            new = [w for w in used if w not in self.words]
-            self.words.update(self._spell(new))
-            done += [b"".join(map(self.words.__getitem__, words)) for words in split]
-            for w in new:
-                if len(w) > _LONGEST:
-                    del self.words[w]
+            split = [self._split(t) for t in texts[at : at + 64]]
+            found = [list(map(self.words.get, words)) for words in split]
+            gaps = [(ids, words, k) for ids, words in zip(found, split, strict=True) for k in _places(ids)]
+            if gaps:
+                learned = self._spell(list({words[k] for _, words, k in gaps}))
+                for ids, words, k in gaps:
+                    ids[k] = learned[words[k]]
+                if len(self.words) + len(learned) > self.most:
+                    self.words = {"": b""}
+                self.words.update(item for item in learned.items() if len(item[0]) <= _LONGEST)
+            done += map(b"".join, found)
         return done
 
 
+def _places(found: list[bytes | None]) -> list[int]:
+    """Where a word was not in the table."""
+    out, at = [], -1
+    for _ in range(found.count(None)):
+        out.append(at := found.index(None, at + 1))
+    return out
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
