@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import op9_token_orc
+from scriptorium.llm import op1_html, op2_packing, op3_warc, op8_minhash, op9_token_orc, op10_decontaminate
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_token_orc": op9_token_orc.query}
+    return {
+        "op1_html_extraction": op1_html.query,
+        "op2_best_fit_packing": op2_packing.query,
+        "op3_warc_revisits": op3_warc.query,
+        "op8_minhash_dedup": op8_minhash.query,
+        "op9_token_orc": op9_token_orc.query,
+        "op10_decontamination": op10_decontaminate.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_warc_revisits": op3_warc.ORACLE_SQL,
+        "op8_minhash_dedup": op8_minhash.ORACLE_SQL,
+        "op10_decontamination": op10_decontaminate.ORACLE_SQL,
+    }
