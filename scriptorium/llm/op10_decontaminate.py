@@ -63,7 +63,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     Containment is the share of the item's distinct ``width``-word shingles that are in
     the document's; a text of fewer words has its whole sequence as one shingle. Texts
     without words, null or empty, match nothing. Rows that repeat an item are one item;
-    rows that repeat a doc_id are one document, as are null doc_ids. Whole texts are
+    rows that repeat a doc_id are one document, as are null doc_ids; items with a null
+    item_id are left out. Whole texts are
     used; no rows give no rows; other columns are ignored.
     """
     sketch = written(sketches(items, width, percent), "sketch").dropDuplicates(["item_id", "h"])
@@ -83,6 +84,12 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    found = written(contained_items(docs, items, **settings).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -208,11 +208,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = roots.join(least, "root").select("node", "component_id")
     joined = sigs.select("doc_id", "node", "n_shingles").join(named, "node", "left")
+    # a null doc_id without words stays; in a group it has no smallest id to be
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.when(F.col("n_shingles") > 0, F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).otherwise(F.lit(True))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its group, with all their columns."""
+    kept = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
