@@ -48,18 +48,17 @@ def revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
     return heads.join(shared, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 32 << 20) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """A WARC record for each page: a response with its payload, or a revisit without one.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, the one with the
     smallest page_id is the response. Null html is an empty payload. Rows that repeat a
     response's page_id and payload are responses too; a null page_id is a response.
-    Files aim at ``file_bytes`` of payload before compression.
+    Payloads are shuffled once at most, to meet their decision; a partition is a file.
     """
     # read twice below, and cheap beside the pages it saves reading again
     heads = written(headers(pages), "warc-headers")
     again = revisits(heads, least_bytes)
-    total = heads.agg(F.sum("bytes")).first()[0] or 0
     payload = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
     joined = own.join(again, ["page_id", "digest"], "left")
@@ -81,8 +80,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), body)
-    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
-    (joined.select(record.alias("value"), "page_id").repartition(files, "page_id", F.length("value")).select("value").write.option("lineSep", _END).option("compression", "gzip").text(path))
+    joined.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def records(chunks):
