@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _with_words(rows: DataFrame, key: str) -> DataFrame:
+    """Words as a column of their own, so that they are cut once and not for each shingle."""
+    return rows.select(key, words(F.col("text")).alias("ws"))
+
+
 def _windows(ws: Column, width: int, of) -> Column:
     """``of`` each run of ``width`` words; of the whole sequence where there are fewer; none without words."""
     n = F.size(ws)
@@ -49,7 +54,7 @@ def sketches(items: DataFrame, width: int, percent: int) -> DataFrame:
     // 100 of them. The sketch has twice the class's largest m, and one more, so at
     least its length less m of it is in every match.
     """
-    sets = items.select("item_id", F.array_sort(F.array_distinct(_hashes(words(F.col("text")), width))).alias("s")).where(F.size("s") > 0)
+    sets = _with_words(items, "item_id").select("item_id", F.array_sort(F.array_distinct(_hashes(F.col("ws"), width))).alias("s")).where(F.size("s") > 0)
     q = F.size("s")
     bound = F.pow(F.lit(2.0), F.ceil(F.log2(q.cast("double")))).cast("int")
     length = F.least(q, F.floor(2 * bound * (100 - percent) / 100).cast("int") + 1)
@@ -69,16 +74,16 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     """
     sketch = written(sketches(items, width, percent), "sketch").dropDuplicates(["item_id", "h"])
     small = sketch.count() <= BROADCAST_ROWS
-    shingles = docs.select("doc_id", F.explode(_hashes(words(F.col("text")), width)).alias("h"))
+    shingles = _with_words(docs, "doc_id").select("doc_id", F.explode(_hashes(F.col("ws"), width)).alias("h"))
     hits = shingles.join(F.broadcast(sketch) if small else sketch, "h").distinct()
     found = written(hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id", "item_id"), "candidates")
 
     # exact: the shingles themselves, of candidates only
-    of_items = items.join(found.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.explode(F.array_distinct(_texts(words(F.col("text")), width))).alias("shingle")).distinct()
+    of_items = _with_words(items.join(found.select("item_id").distinct(), "item_id", "left_semi"), "item_id").select("item_id", F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle")).distinct()
     sizes = of_items.groupBy("item_id").agg(F.count("*").alias("n_item"))
     ids = found.select(F.col("doc_id").alias("d")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    of_docs = texts.select("doc_id", F.explode(F.array_distinct(_texts(words(F.col("text")), width))).alias("shingle"))
+    of_docs = _with_words(texts, "doc_id").select("doc_id", F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle"))
     shared = of_docs.join(of_items, "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     out = shared.join(sizes, "item_id").where(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
