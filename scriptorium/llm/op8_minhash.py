@@ -44,8 +44,10 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key for each band; keys of different bands differ."""
     rows = sig.reshape(bands, -1).astype(np.uint64)
-    factors = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(rows.shape[1])], dtype=np.uint64)
-    return mix((rows * factors).sum(axis=1, dtype=np.uint64) + mix(np.arange(bands, dtype=np.uint64), 3), 9)
+    key = mix(np.arange(bands, dtype=np.uint64), 3)
+    for k in range(rows.shape[1]):
+        key = mix(key + rows[:, k] * np.uint64(0x9E3779B97F4A7C15), 9)
+    return key
 
 
 def _node(s: np.ndarray) -> bytes:

@@ -30,7 +30,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n, 2 * len(_powers[0]))
         inverse = pow(int(_BASE), -1, 1 << 64)
         for i, b in enumerate((int(_BASE), inverse)):
-            _powers[i] = np.cumprod(np.concatenate(([1], np.full(size - 1, b, dtype=np.uint64))).astype(np.uint64))
+            steps = np.full(size, b, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
     return _powers[0], _powers[1]
 
 
