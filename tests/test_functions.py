@@ -48,8 +48,8 @@ def test_evidence(spark):
 @pytest.mark.parametrize(
     ("text", "reason"),
     [
-        ("x" * 119, "short"), ("9" * 25 + "a" * 100, "digits"), ("*" * 70 + "a" * 60, "letters"), ("word " * 24 + "a" * 20, "words"), ("word " * 30, "sentences"),
-        ("中" * 25 + "。" + "文" * 25 + "。" + " " * 69 + "x", "ok"), ("a sentence here. " * 10, "ok"), ("\n".join(["short line."] * 12 + ["a longer line that is long enough"] * 3), "shortlines"),
+        ("x" * 119, "short"), ("9" * 26 + "a" * 100, "digits"), ("9" * 25 + "a" * 100, "words"), ("*" * 70 + "a" * 60, "letters"), ("word " * 24, "words"), ("word " * 30, "sentences"),
+        ("中" * 25 + "。" + "文" * 25 + "。" + " " * 69 + "x", "ok"), ("a sentence here. " * 10, "ok"), ("\n".join(["short line."] * 12 + ["a longer line that is long enough."] * 3), "shortlines"),
         ("a sentence here. " * 10 + "<br>" * 6, "caption"), ("a sentence here. " * 10 + "<br>" * 5, "ok"), ("word word " * 14 + ". abcdefghijklmnop <!--", "note"),
     ],
 )
