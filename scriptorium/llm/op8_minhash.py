@@ -23,6 +23,9 @@ _CIRCLE = 1 << 20
 #: Members of a bucket that one task compares at a time.
 BLOCK = 256
 
+#: Ids (8 bytes each) that are broadcast at most, to read their texts again without a shuffle of all texts.
+BROADCAST_IDS = 1_000_000
+
 _orders: dict[int, np.ndarray] = {}
 
 
@@ -35,10 +38,13 @@ def _shifted(coordinates: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    """Circulant MinHash of a non-empty set: coordinate k is the least of the order shifted by k."""
+    """Circulant MinHash of a non-empty set: coordinate k is the least of the order shifted by k.
+
+    Coordinates keep their low 16 bits, which is where minima differ.
+    """
     places = np.unique(mix(shingles, 5) >> np.uint64(44)).astype(np.int64)
     rows = _shifted(coordinates)
-    return np.minimum.reduce([rows[places[i : i + 8192]].min(axis=0) for i in range(0, len(places), 8192)])
+    return np.minimum.reduce([rows[places[i : i + 8192]].min(axis=0) for i in range(0, len(places), 8192)]).astype(np.uint16)
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
@@ -56,20 +62,33 @@ def _node(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (name of the shingle set; null without words), n_shingles and band keys."""
+    """doc_id, node (name of the shingle set; null without words), n_shingles and sketch (the signature)."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
                 sets = shingle_lists(some.column("text").to_pylist(), width)
-                keys = [band_keys(signature(s, bands * rows), bands).view(np.int64) if len(s) else None for s in sets]
+                sketches = [signature(s, bands * rows).tobytes() if len(s) else None for s in sets]
                 yield pa.record_batch(
-                    [some.column("doc_id"), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "n_shingles", "keys"],
+                    [some.column("doc_id"), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "node", "n_shingles", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, sketch binary")
+
+
+def _members(nodes: DataFrame, bands: int) -> DataFrame:
+    """(node, rep, band, key): each node in each of its buckets."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [band_keys(np.frombuffer(x.as_buffer(), dtype=np.uint16), bands) for x in batch.column("sketch")]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+            some = batch.select(["node", "rep"]).take(at)
+            yield pa.record_batch([*some.columns, pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]).view(np.int64))], names=["node", "rep", "band", "key"])
+
+    return nodes.select("node", "rep", "sketch").mapInArrow(run, "node binary, rep long, band int, key long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -80,7 +99,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = shingle_lists(batch.column("text").to_pylist(), width)
             yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("w")).distinct(), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
+    ids = wanted.select(F.col("rep").alias("w")).distinct()
+    small = ids.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
     found = texts.select("text").mapInArrow(run, "node binary, shingles binary")
     # a doc_id that stands for several texts brings more nodes than were asked for
     return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
@@ -113,16 +134,62 @@ def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     return rooted.join(found.select("key", "size", "main"), "key")
 
 
-def _within_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _promising(dealt: DataFrame, percent: int, bands: int) -> DataFrame:
+    """The rows of blocks that take part in a pair worth comparing: key, block, node, root, role.
+
+    A pair of different roots is worth it in the first bucket that it shares, if its
+    sketches agree in no less than six standard deviations below ``percent`` of their
+    places. So a pair costs its sets once, however many buckets it shares.
+    """
+
+    def run(batches):
+        group, held, rows, used = None, [], [], None
+        matrix = tops = None
+
+        def flush():
+            return [r for r, u in zip(rows, used, strict=True) if u] if used is not None else []
+
+        for batch in batches:
+            found = []
+            for key, block, node, root, role, band, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "node", "root", "role", "band", "sketch")), strict=True):
+                if (key, block) != group:
+                    found += flush()
+                    group, held, rows, used = (key, block), [], [], None
+                s = np.frombuffer(raw, dtype=np.uint16)
+                if not role:
+                    held.append(s)
+                    rows.append((key, block, node, root, role))
+                    continue
+                if used is None:
+                    used, matrix = np.zeros(len(held), dtype=bool), np.array(held).reshape(len(held), len(s))
+                    tops = np.array([r[3] for r in rows], dtype=object)
+                same = matrix == s
+                good = (same.mean(axis=1) >= percent / 100 - 6 * np.sqrt(percent * (100 - percent) / len(s)) / 100) & (tops != root)
+                good &= same.reshape(len(held), bands, -1).all(axis=2).argmax(axis=1) == band
+                if good.any():
+                    used |= good
+                    found.append((key, block, node, root, role))
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["key", "block", "node", "root", "role"])
+        columns = list(zip(*flush(), strict=True)) or [()] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["key", "block", "node", "root", "role"])
+
+    return dealt.mapInArrow(run, "key long, block int, node binary, root binary, role int")
+
+
+def _within_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
     """Links between components, by exact comparison inside buckets.
 
     Members outside their bucket's main component (probes) meet all its members, block by
-    block. A task holds one block's sets and one probe; roots it has joined already are
-    not compared again, and it returns a spanning forest of links, not pairs.
+    block, first by sketch and then, where that leaves something, by set. A task holds one
+    block and one probe; roots it has joined already are not compared again, and it
+    returns a spanning forest of links, not pairs.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    targets = rows.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "root", F.lit(0).alias("role"))
-    probes = rows.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "root", F.lit(1).alias("role"))
+    targets = rows.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "root", "band", F.lit(0).alias("role"))
+    probes = rows.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "root", "band", F.lit(1).alias("role"))
+    dealt = targets.unionByName(probes).join(nodes.select("node", "sketch"), "node").repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    rows = written(_promising(dealt, percent, bands), "promising")
 
     def run(batches):
         group, names, roots, held, index = None, [], [], [], None
@@ -163,7 +230,7 @@ def _within_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((root, roots[i]))
             yield pa.record_batch([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["u", "v"])
 
-    dealt = targets.unionByName(probes).join(sets, "node").repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    dealt = rows.join(sets, "node").repartition("key", "block").sortWithinPartitions("key", "block", "role")
     return dealt.select("key", "block", "node", "root", "role", "shingles").mapInArrow(run, "u binary, v binary")
 
 
@@ -182,12 +249,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     No rows give no rows; other columns are ignored.
     """
     sigs = written(signatures(docs, width, bands, rows), "signatures")
-    nodes = written(sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "nodes")
-    members = nodes.select("node", "rep", F.explode("keys").alias("key"))
+    nodes = written(sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "nodes")
+    members = _members(nodes, bands)
     shared = members.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1")
     buckets = written(members.join(shared, "key"), "buckets")
     sets = written(_sets(docs, buckets.select("node", "rep").distinct(), width), "sets")
-    buckets = buckets.select("key", "node", "centre", "c")
+    buckets = buckets.select("key", "band", "node", "centre", "c")
 
     pairs = buckets.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
     links = written(_verified(pairs, sets, percent), "links")
@@ -202,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         more = large.where(~mine).drop("centre").join(centres, "key").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
         links = written(links.unionByName(_verified(more, sets, percent)), "links")
         comps = components(links)
-    last = written(_within_blocks(written(_open(buckets, comps), "open"), sets, percent), "links")
+    last = written(_within_blocks(written(_open(buckets, comps), "open"), nodes, sets, percent, bands), "links")
     if not last.isEmpty():
         comps = components(comps.unionByName(last))
 
