@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import table, written
 
-LEAF = 64
+LEAF = 256
 FANOUT = 16
 _PAGES = "subtree int, part int, page int, leaf boolean, n int, objects binary, parent_distance binary, radius binary, child binary, ids binary, id_counts binary"
 
@@ -111,10 +111,12 @@ class Tree:
     """A part's pages, as read back."""
 
     def __init__(self, pdf: pd.DataFrame, dims: int):
-        self.pages = {}
+        self.pages, self.largest = {}, 0.0
         for r in pdf.itertuples():
             ids, counts = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.id_counts, dtype=np.int32)
-            self.pages[r.page] = (r.leaf, np.frombuffer(r.objects, dtype=np.float64).reshape(r.n, dims + 1), np.frombuffer(r.parent_distance), np.frombuffer(r.radius), np.frombuffer(r.child, dtype=np.int32), ids, np.concatenate(([0], np.cumsum(counts))))
+            objects = np.frombuffer(r.objects, dtype=np.float64)
+            self.largest = max(self.largest, float(np.abs(objects).max(initial=0)))
+            self.pages[r.page] = (r.leaf, objects.reshape(r.n, dims + 1), np.frombuffer(r.parent_distance), np.frombuffer(r.radius), np.frombuffer(r.child, dtype=np.int32), ids, np.concatenate(([0], np.cumsum(counts))))
 
     def search(self, q: np.ndarray, own: int, k: int, most: float, to_root: float, floor: float | None) -> list[tuple[int, int]]:
         """The k best (product, vec_id) of this part that can be among the best ``k`` at ``floor`` or above.
@@ -130,6 +132,7 @@ class Tree:
         def reach(product: float) -> float:  # nothing farther has so large a product
             return np.sqrt(max(0.0, square + most - 2 * product)) + margin
 
+        exact = self.largest * np.abs(qf).max(initial=0) * len(qf) < 2**53
         best: list[tuple[int, int]] = []  # heap of (product, -vec_id), worst first
         bound = reach(floor) if floor is not None else np.inf
         waiting = [(0.0, 0, to_root)]
@@ -148,10 +151,14 @@ class Tree:
                     if low <= bound:
                         heapq.heappush(waiting, (max(low, least), int(child[i]), d))
                 continue
-            inner = objects[near, :-1]
-            exact = np.abs(inner).max(initial=0) * np.abs(qf).max(initial=0) * len(qf) < 2**53
-            products = (inner @ qf[:-1]).astype(np.int64).tolist() if exact else [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in inner]
-            for p, i in zip(products, near.tolist(), strict=True):
+            if exact:
+                products = objects @ qf  # whole pages: the query's last component is 0, and sums stay below 2**53
+                least_product = best[0][0] if len(best) == k else -np.inf if floor is None else floor
+                near = near[products[near] >= least_product]
+                pairs = zip(products[near].astype(np.int64).tolist(), near.tolist(), strict=True)
+            else:
+                pairs = [(sum(int(a) * int(b) for a, b in zip(objects[i, :-1], q, strict=True)), i) for i in near.tolist()]
+            for p, i in pairs:
                 if len(best) == k and p < best[0][0]:
                     continue
                 for vec in ids[ends[i] : ends[i + 1]].tolist():
@@ -208,7 +215,7 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, par
         return spark.createDataFrame([], result)
     dims //= 8
     sample = _lifted(_matrix([r["v"] for r in vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(2048).collect()], dims), most)
-    wanted = min(most_pivots, max(1, -(-many // part_rows) * 4))
+    wanted = min(most_pivots, -(-many // part_rows))
     own = spark.sparkContext.broadcast(sample[pick_pivots(sample, wanted)])
 
     def nearest(batches):
