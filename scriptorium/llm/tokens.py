@@ -41,7 +41,7 @@ class WordEncoder:
     result.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         if not splits_at_blanks(path):
