@@ -115,11 +115,12 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", weight.alias("weight"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 4000, penalty: float = 1.0) -> tuple[list[str], np.ndarray, float] | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 4000, penalty: float = 1.0, cost: float = 1.6) -> tuple[list[str], np.ndarray, float] | None:
     """Feature names, weights and intercept, from a bounded sample of the labelled rows.
 
     ``most`` bounds the sampled rows of each label; of their features, counted in Spark,
-    the ``size`` that tell the labels apart best are used. None where a label is missing.
+    the ``size`` that tell the labels apart best are used. ``cost`` is what a missed toxic
+    text weighs against a false alarm. None where a label is missing.
     """
     sample = written(_sample(docs, labels, most), "toxic-sample")
     totals = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 4000,
                 other.append(known({swapped.get(w, w) for w in words}) if words & swapped.keys() else None)
             yield pa.record_batch([batch.column("label"), batch.column("weight"), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["label", "weight", "own", "other"])
 
-    rows = [tuple(r) for r in sample.mapInArrow(encode, "label int, weight double, own array<int>, other array<int>").collect()]
+    rows = [(y, w * (cost if y == 1 else 1), own, other) for y, w, own, other in sample.mapInArrow(encode, "label int, weight double, own array<int>, other array<int>").collect()]
     return names, *train(rows, len(names), penalty)
 
 
