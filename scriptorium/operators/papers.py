@@ -33,10 +33,11 @@ def paper_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
     no JSON object gets a stub, the answer's first 1000 characters, one empty finding and
     the reasons that follow from having nothing.
     """
-    joined = papers.join(responses.select("path", "response"), "path", "left").withColumn("v", R.parse_response(F.col("response")))
-    scan = is_scan(F.col("full_text"))
-    failed = ~scan & F.col("v").isNull()
-    v = F.when(~scan, F.col("v"))
+    joined = papers.join(responses.select("path", "response"), "path", "left").withColumn("scan", is_scan(F.col("full_text"))).withColumn("v", R.parse_response(F.col("response")))
+    # columns of their own, so that a text is measured and an answer parsed once a row
+    joined = joined.withColumn("v", F.when(~F.col("scan"), F.col("v")))
+    scan, v = F.col("scan"), F.col("v")
+    failed = ~scan & v.isNull()
     none = F.array().cast("array<string>")
     lists = {f: F.when(v.isNull(), none).otherwise(R.string_list(R.field(v, f))) for f in [*R.LIST_FIELDS, "authors"]}
     title = F.when(v.isNull(), F.col("title")).otherwise(R.text(v, "extracted_title"))

@@ -369,7 +369,45 @@ def summary_rows(spark, sf_dir):
     return P.summary_rows(records(spark, sf_dir)).select("path", "extracted_title", "authors", "research_question", "relevance_score", "key_findings")
 
 
-@register()
+def _evidence_sql(name: str) -> str:
+    """Markdown of one evidence field: text, pages, excerpt."""
+    at = f"$.{name}"
+    text = f"case json_type(j, '{at}') when 'OBJECT' then coalesce(json_extract_string(j, '{at}.text'), '') when 'VARCHAR' then json_extract_string(j, '{at}') else '' end"
+    pages, excerpt = O.page_list("j", f"{at}.evidence_pages"), f"json_extract_string(j, '{at}.evidence_excerpt')"
+    shown = f"({text}) || case when len({pages}) > 0 then chr(10) || '   - 证据页码：第 ' || array_to_string({pages}, ', ') || ' 页' else '' end || case when {excerpt} <> '' then chr(10) || '   - 原文依据：' || {excerpt} else '' end"
+    return f"case when scan or j is null then '' else {shown} end"
+
+
+def _or(c: str, other: str) -> str:
+    return f"coalesce(nullif({c}, ''), {O.lit(other)})"
+
+
+_SECTIONS = [
+    ("研究背景", _numbered("research_background")), ("研究问题", _numbered("research_question")), ("研究目标", _numbered("research_objective")), ("研究方法", _evidence_sql("research_method")),
+    ("模型或理论框架", _numbered("model_or_framework")), ("数据来源", _evidence_sql("data_source")), ("实验或研究设计", _numbered("experimental_design")), ("分析流程", _numbered("analysis_process")),
+    ("主要发现", "case when failed then '1. ' when scan then '' else coalesce(g.md, '') end"), ("研究贡献", _numbered("contributions")),
+]
+_LIMITS = f"case when scan or j is null then '' else coalesce(array_to_string(list_transform(case when len({O.string_list('j', 'limitations_reported')}) = 0 then {O.string_list('j', 'limitations')} else {O.string_list('j', 'limitations_reported')} end, lambda v, i: i || '. ' || v), chr(10)), '') end"
+_BREAK = " || chr(10) || chr(10) || "
+_HEAD = " || chr(10) || ".join(
+    f"'- {k}：' || {v}"
+    for k, v in (("作者", _or("array_to_string(authors, '、')", "未识别")), ("年份", _or("year", "未识别")), ("期刊/来源", _or("journal", "未识别")), ("DOI", _or("doi", "—")), ("DOI 状态", "doi_status"))
+)
+_CARD = _BREAK.join(
+    ["'# ' || coalesce(title, path)", f"'## 一、基本信息'{_BREAK}{_HEAD}"]
+    + [f"'## {k}' || chr(10) || {v}" for k, v in _SECTIONS]
+    + ["'## 研究局限'", f"'### 作者明确提出的局限' || chr(10) || {_or(_LIMITS, '未识别到作者明确陈述的研究局限。')}", f"'### 模型基于论文内容推断的局限' || chr(10) || {_or(_numbered('limitations_inferred'), '暂无推断内容。')}"]
+    + ["'> 注意：以上推断内容不是论文作者的直接表述，正式引用前需要核对原文。'", f"'## 相关性评分' || chr(10) || {_numbered('relevance_score')}", "'## 文件路径' || chr(10) || path || chr(10)"]
+)
+
+
+@register(
+    f"""with f as ({_FINDINGS}), g as (select path, string_agg(finding || '. ' || text || case when pages <> '' then chr(10) || '   - 证据页码：第 ' || replace(pages, ',', ', ') || ' 页' else '' end ||
+    case when excerpt <> '' then chr(10) || '   - 原文依据：' || excerpt else '' end, chr(10) order by finding) as md from f group by path),
+r as (select *, case when scan or j is null then null else {_known("json_extract_string(j, '$.journal')")} end as journal from ({_REASONS})),
+c as (select path, substr({O.sub("coalesce(nullif(title, ''), path)", T.UNSAFE, "-")}, 1, 100) || '.md' as file_name, {_CARD} as markdown from r left join g using (path))
+select file_name, arg_max(markdown, path) as markdown from c group by file_name"""
+)
 def markdown_cards(spark, sf_dir):
     return P.markdown_cards(records(spark, sf_dir))
 
