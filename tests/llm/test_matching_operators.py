@@ -163,3 +163,14 @@ def test_top_k_against_brute_force(spark, part_rows):
     assert got == brute_top(rows, 100, 10)
     assert op7_mtree.top_k(table_.where("vec_id < 3"), 1, 10).count() == 6
     assert op7_mtree.top_k(table_.where("vec_id < 0")).count() == 0
+
+
+def test_registered_spans(spark, sf):
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    rows = op6_pii.query(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = [f"{op6_pii.KINDS[k]}:{a}:{b}" for a, k, b in brute_spans(texts[r.doc_id])]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b.startswith(k + ":") for b in base) for k in op6_pii.KINDS]
+        assert set(base) <= set(r.spans.split(",")) | {""}
