@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. Text of containers that
-never hold an article (menus, footers, forms, adverts ...) counts as length 0, and a
-container's edge leaves empty lines, as its markup did. The sums of text lengths over
-sliding windows of lines then surge where the article begins and dive where it ends.
+never hold an article (menus, footers, forms, adverts ...) counts as length 0, and their
+edges leave empty lines, as their markup did. The sums of text lengths over sliding
+windows of lines then surge where the article begins and dive where it ends. Article and
+main elements are a weight on their lines.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_EDGE = frozenset("article main section aside nav header footer form div table body".split())
+_BOXES = frozenset("div td form".split())
 _PARTS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|widget\w*|footer\w*|header|masthead|cookies?|consent|gdpr|notice\w*|disclaimer|comments?|commentlist|disqus\w*|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|popup|modal|overlay|login|signup|search\w*|pagination|pager|toolbar|copyright|legal|hidden)(?:$|[\s_-])",
     re.I,
@@ -34,42 +35,97 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WHITE = re.compile(r"\s+")
+#: Empty lines at the edge of a page part, and of an article or main element.
+_EDGE = 3
+#: What a line in an article or main element weighs.
+_MARKED = 1000
+#: What other lines weigh on a page with such an element.
+_BESIDE = 0.25
 
 
-def _part(name: str, attributes: str) -> bool:
-    """Whether an element is a page part that never belongs to the article."""
+def _part(name: str, attributes: str, main: bool) -> bool:
+    """Whether an element is a page part that never belongs to the article; ``main``: it lies in an article.
+
+    An article's own header holds its title.
+    """
+    named = _NAMED.findall(attributes) if attributes else []
     if name in _SKIP:
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
+        return name != "header" or not main
+    if name in ("body", "html", "article", "main"):
         return False
-    for key, a, b, c in _NAMED.findall(attributes):
+    for key, a, b, c in named:
         value, key = a or b or c, key.lower()
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and _PARTS.search(value)):
             return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page: text, length that counts, and whether it lies in an article or main element.
+class _Elements:
+    """A page's block elements and page parts, parents before children; 0 is the page itself."""
+
+    def __init__(self) -> None:
+        self.name, self.parent, self.part, self.main = [""], [0], [False], [False]
+
+    def add(self, name: str, parent: int, attributes: str) -> int:
+        main = self.main[parent]
+        self.name.append(name)
+        self.parent.append(parent)
+        self.part.append(_part(name, attributes, main))
+        self.main.append(main or name in _MAIN)
+        return len(self.name) - 1
+
+    def sums(self, lines: list[tuple[str, int, int]], counts) -> list[int]:
+        """For each element, the lengths of the lines in it whose element ``counts``."""
+        out = [0] * len(self.name)
+        for _, n, e in lines:
+            if counts(e):
+                out[e] += n
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
 
-    An edge of a container leaves two empty lines. Elements left open end with the page
-    or with an element around them; a closing tag without an opening one does nothing.
+    def outermost_parts(self) -> list[int]:
+        """For each element, the outermost page part around it (0: none)."""
+        out = [0] * len(self.name)
+        for e in range(1, len(out)):
+            out[e] = out[self.parent[e]] or (e if self.part[e] else 0)
+        return out
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, int]], _Elements]:
+    """Lines of a page (text, its length without links, its element) and the elements.
+
+    Elements left open end with the page or with an element around them; a closing tag
+    without an opening one does nothing.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, inside a page part, inside main
-    skip = main = in_link = False
+    elements = _Elements()
+    stack = [0]
+    opened: dict[str, int] = {}  # how many of a name are on the stack
+    in_link = False
 
     def flush() -> None:
         nonlocal linked
         if text:
             line = _WHITE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append((line, 0 if skip else max(1, len(line) - min(linked, len(line))), main))
+                out.append((line, max(1, len(line) - min(linked, len(line))), stack[-1]))
             text.clear()
         linked = 0
 
+    def enter(name: str, attributes: str) -> None:
+        stack.append(elements.add(name, stack[-1], attributes))
+        opened[name] = opened.get(name, 0) + 1
+
+    def leave(name: str) -> None:
+        while True:
+            was = elements.name[stack.pop()]
+            opened[was] -= 1
+            if was == name:
+                break
+
     at, raw = 0, None
     for m in _MARK.finditer(page):
         if m.start() < at:
@@ -96,52 +152,80 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             in_link = not closing
             continue
         if name not in _BLOCK:
-            if not closing and name not in _VOID and not m[3].endswith("/") and _part(name, m[3]):
+            if not closing and name not in _VOID and not m[3].endswith("/") and _part(name, m[3], elements.main[stack[-1]]):
                 flush()
-                stack.append((name, skip, main))
-                skip = True
-            elif closing and any(s[0] == name for s in stack):
+                enter(name, m[3])
+            elif closing and opened.get(name):
                 flush()
-                while stack:
-                    was, skip, main = stack.pop()
-                    if was == name:
-                        break
+                leave(name)
             continue
         flush()
-        if name in _EDGE:
-            out += [("", 0, main)] * 2
         if name in _VOID:
             continue
         if not closing:
-            if name == "p" and stack and stack[-1][0] == "p":
-                _, skip, main = stack.pop()
-            stack.append((name, skip, main))
-            skip = skip or (_part(name, m[3]) and not (name == "header" and main))  # an article's own header holds its title
-            main = main or name in _MAIN
-        elif any(s[0] == name for s in stack):
-            while stack:
-                was, skip, main = stack.pop()
-                if was == name:
-                    break
+            if name == "p" and elements.name[stack[-1]] == "p":
+                leave("p")
+            enter(name, m[3])
+        elif opened.get(name):
+            leave(name)
             in_link = False
     if at < len(page):
         text.append(page[at:])
     flush()
-    return out
+    return out, elements
+
+
+def _settle(lines: list[tuple[str, int, int]], elements: _Elements) -> tuple[list[int], bool]:
+    """For each element, the page part that keeps it out (0: none), and whether an article or main element has text."""
+    off = elements.outermost_parts()
+    return off, any(elements.main[e] and not off[e] for _, _, e in lines)
+
+
+def _weights(lines: list[tuple[str, int, int]], elements: _Elements, off: list[int], marked: bool, share: float) -> list[float]:
+    """What a line of each element weighs.
+
+    Lines in an article or main element weigh most, and others then so little that, with
+    the usual share, they stand only where no candidate of the page is longer. On other
+    pages the smallest box of several lines with all but ``share`` of the text takes the
+    article's place; if that is the page itself, lines in no box of their own do.
+    """
+    if marked:
+        return [float(_MARKED) if m else _BESIDE for m in elements.main]
+    held = elements.sums(lines, lambda e: not off[e])
+    several = elements.sums([(line, 1, e) for line, _, e in lines], lambda e: not off[e])
+    boxes = [e for e in range(1, len(held)) if elements.name[e] in _BOXES and several[e] > 1]
+    near = max((e for e in boxes if held[e] >= (1 - share) * held[0]), default=0)
+    inside = [not near] + [False] * (len(held) - 1)
+    for e in range(1, len(held)):
+        above = inside[elements.parent[e]]
+        inside[e] = e == near or (above and (near > 0 or elements.name[e] not in _BOXES))
+    return [float(_MARKED) if x else 1.0 for x in inside]
 
 
 def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
     """The article's blocks, joined by newlines.
 
     The sum of lengths over ``window`` lines surges from 0 where a text begins and dives
-    to 0 where it ends; what lies between is one candidate. Where the page marks an
-    article or main element, the candidates inside it are the text. Elsewhere it is the
-    longest candidate and every other with at least ``share`` of its length. Null and
-    empty pages, and pages without text, give the empty string.
+    to 0 where it ends; what lies between is one candidate. A candidate stands if its
+    weighted length is at least ``share`` of the longest candidate's length. The text
+    goes from the first surge to the last dive of those that stand. Null and empty pages,
+    and pages without text, give the empty string.
     """
     if not page:
         return ""
-    lines = lines_of(page)
+    found, elements = lines_of(page)
+    off, marked = _settle(found, elements)
+    weight = _weights(found, elements, off, marked, share)
+    lines: list[tuple[str, int, float]] = []
+    before = None  # kind of the line before: a page part, marked or not
+    for line, n, e in found:
+        if off[e] and elements.main[elements.parent[off[e]]]:
+            continue  # a part of the article ends no candidate
+        kind = (bool(off[e]), elements.main[e] and not off[e])
+        if before is not None and kind != before:
+            lines += [("", 0, 0.0)] * _EDGE
+        before = kind
+        lines.append((line, 0 if off[e] else n, weight[e]))
     sizes = [n for _, n, _ in lines]
     spans, start, inside = [], 0, False
     run = sum(sizes[:window])
@@ -154,13 +238,9 @@ def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
         run += (sizes[i + window] if i + window < len(sizes) else 0) - sizes[i]
     if inside:
         spans.append((start, len(lines)))
-    marked = [s for s in spans if any(lines[i][2] and lines[i][1] for i in range(*s))]
-    if marked:
-        kept = [i for s in marked for i in range(*s) if lines[i][2]]
-    else:
-        weight = [sum(sizes[a:b]) for a, b in spans]
-        kept = [i for s, w in zip(spans, weight, strict=True) if w >= share * max(weight) for i in range(*s)]
-    return "\n".join(lines[i][0] for i in kept if lines[i][1] > 0)
+    least = share * max((sum(sizes[a:b]) for a, b in spans), default=0)
+    stand = [(a, b) for a, b in spans if sum(n * w for _, n, w in lines[a:b]) >= least]
+    return "\n".join(line for line, n, _ in lines[stand[0][0] : stand[-1][1]] if n > 0) if stand else ""
 
 
 def extract_main_text(pages: DataFrame, window: int = 3, share: float = 0.25) -> DataFrame:
