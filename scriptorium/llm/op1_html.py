@@ -25,11 +25,15 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Parts that hold an article only by mistake; they stay out however much text they have.
+_NEVER = frozenset("nav footer aside button menu dialog".split())
 _BOXES = frozenset("div td form".split())
 _PARTS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|widget\w*|footer\w*|header|masthead|cookies?|consent|gdpr|notice\w*|disclaimer|comments?|commentlist|disqus\w*|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|popup|modal|overlay|login|signup|search\w*|pagination|pager|toolbar|copyright|legal|hidden)(?:$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
+_OWN_HEADER = re.compile(r"(?:^|\s)(?:entry|post|article|story|content)[_-]header(?:$|\s)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -50,11 +54,13 @@ def _part(name: str, attributes: str, main: bool) -> bool:
     """
     named = _NAMED.findall(attributes) if attributes else []
     if name in _SKIP:
-        return name != "header" or not main
+        return name != "header" or not (main or any(k.lower() == "class" and _OWN_HEADER.search(a or b or c) for k, a, b, c in named))
     if name in ("body", "html", "article", "main"):
         return False
     for key, a, b, c in named:
         value, key = a or b or c, key.lower()
+        if key in ("class", "id"):
+            value = _HEADER.sub("", value) if main else _OWN_HEADER.sub(" ", value)
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and _PARTS.search(value)):
             return True
     return False
@@ -176,9 +182,25 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], _Elements]:
 
 
 def _settle(lines: list[tuple[str, int, int]], elements: _Elements) -> tuple[list[int], bool]:
-    """For each element, the page part that keeps it out (0: none), and whether an article or main element has text."""
-    off = elements.outermost_parts()
-    return off, any(elements.main[e] and not off[e] for _, _, e in lines)
+    """For each element, the page part that keeps it out (0: none), and whether an article or main element has text.
+
+    A part that holds the only article or main element is none; nor, on a page without
+    one, is a part that holds most of the page's text. The outermost are opened first,
+    so that comments in article elements of their own stay out beside the article.
+    """
+    marked = elements.sums(lines, lambda e: elements.main[e])
+    held, least = (marked, 0) if marked[0] else (elements.sums(lines, lambda e: True), None)
+    if least is None:
+        least = held[0] / 2
+    while True:
+        off = elements.outermost_parts()
+        if marked[0] and any(elements.main[e] and not off[e] for _, _, e in lines):
+            return off, True
+        wide = [e for e in set(off) if e and held[e] > least and (marked[0] or elements.name[e] not in _NEVER)]
+        if not wide:
+            return off, False
+        for e in wide:
+            elements.part[e] = False
 
 
 def _weights(lines: list[tuple[str, int, int]], elements: _Elements, off: list[int], marked: bool, share: float) -> list[float]:

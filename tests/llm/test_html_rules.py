@@ -14,3 +14,29 @@ def test_windows_choose_on_pages_with_an_article():
     assert op1_html.main_text(page, window=9) == f"Beside it.\nT\n{WANT}\nBelow it."
     assert op1_html.main_text(page, share=0.001) == f"Beside it.\nT\n{WANT}\nBelow it."
     assert op1_html.main_text(f"<article><p>{LONG}</p></article><nav>n</nav><article><p>End.</p></article>") == f"{WANT}\nEnd."
+
+
+def test_plain_containers_end_no_candidate():
+    parts = ["Title", LONG, "Short.", LONG, "End."]
+    for name in ("div", "section"):
+        body = "".join(f"<{name}><p>{p}</p></{name}>" for p in parts)
+        assert op1_html.main_text(f"<nav>menu</nav>{body}<footer>f</footer>") == "\n".join(p.strip() for p in parts)
+    for body in (f"<p>{LONG}</p><aside><p>ad</p></aside><p>End.</p>", f"<div><div><p>{LONG}</p></div><div class=ad>ad</div><div>End.</div></div>"):
+        assert op1_html.main_text(f"<nav>menu</nav>{body}<footer>f</footer>") == f"{WANT}\nEnd."
+    assert op1_html.main_text(f"<div>Skip to content</div><nav>m</nav><div><h1>T</h1><p>{LONG}</p></div><footer>f</footer>") == f"T\n{WANT}"
+
+
+def test_containers_of_the_article_stay():
+    for article in (f"<article><h1>T</h1><p>{LONG}</p></article>", f"<main><h1>T</h1><p>{LONG}</p></main>", f"<div><h1>T</h1><p>{LONG}</p></div>"):
+        for a, z in (("<div class='layout with-sidebar'>", "</div>"), ("<form action=x>", "</form>"), ("<form><div class=widget-area>", "</div></form>")):
+            assert op1_html.main_text(f"{a}<nav>menu</nav>{article}<div class=sidebar>side</div>{z}<footer>f</footer>") == f"T\n{WANT}", (a, article)
+    comments = "<div id=comments>" + f"<article><p>I agree. {LONG}</p></article>" * 3 + "</div>"
+    assert op1_html.main_text(f"<article><p>Text.</p></article>{comments}") == "Text."
+    assert op1_html.main_text(f"<form><main><p>Text.</p></main>{comments}</form>") == "Text."
+    assert op1_html.main_text("<nav>Home of the site</nav><p>x</p><footer>all rights</footer>") == "x"
+
+
+def test_header_of_an_article_stays():
+    for head in ("<div class='entry-header'><h1>T</h1></div>", "<div id=header><h1>T</h1></div>", "<header class=header><h1>T</h1></header>"):
+        assert op1_html.main_text(f"<article>{head}<p>{LONG}</p></article>") == f"T\n{WANT}"
+    assert op1_html.main_text(f"<div class=header>Site</div><div><header class=entry-header><h1>T</h1></header><p>{LONG}</p></div>") == f"T\n{WANT}"
