@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Set once where the session names no folder of its own, as in tests.
-_own: dict[str, str] = {}
+#: Rows of a handful of numbers that are broadcast at most; beyond it they meet others by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Rows that Spark hands to Python at a time where they hold texts.
+BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: spark.checkpoint.dir."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
+    """The folder every executor and the driver can reach: spark.checkpoint.dir, or a checkpoint folder set by hand.
+
+    Where a session names none, one process alone (``local``, as in tests) gets a
+    temporary folder; a cluster is refused, since a folder of one machine would not do.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -28,14 +39,53 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a batch to ``BATCH_ROWS``, so that batches of texts stay small in JVM and Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def text_slices(batch: pa.RecordBatch, most: int = 1_000_000, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``rows`` rows with at most ``most`` characters of ``text``, or one longer row."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+    at = 0
+    while at < len(lengths):
+        end, size = at, 0
+        while end < len(lengths) and (end == at or size + lengths[end] <= most) and end - at < rows:
+            size += lengths[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(text: str = "text") -> F.Column:
+    """A 64-bit hash that, with the doc_id, names a row's document where doc_ids repeat."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

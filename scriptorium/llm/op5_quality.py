@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table, written
+from scriptorium.llm.common import small_batches, table, text_slices, written
 from scriptorium.llm.shingles import word_hashes
 
 #: Kinds of code points below 592; above them all count as letters.
@@ -76,23 +73,10 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     )
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most ``most`` characters of text, or one longer row."""
-    lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
-    at = 0
-    while at < len(lengths):
-        end, size = at, 0
-        while end < len(lengths) and (end == at or size + lengths[end] <= most) and end - at < 512:
-            size += lengths[end]
-            end += 1
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def with_statistics(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for some in _slices(batch):
+            for some in text_slices(batch):
                 x = statistics(some.column("text").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.record_batch([some.column("doc_id"), lists], names=["doc_id", "x"])
@@ -209,7 +193,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, shrinkage:
 
     def run(batches):
         for batch in batches:
-            for some in _slices(batch):
+            for some in text_slices(batch):
                 yield some.filter(pa.array(model.score(statistics(some.column("text").to_pylist())) >= least))
 
     return docs.mapInArrow(run, docs.schema) if model else docs

@@ -4,8 +4,9 @@ All signature coordinates come from two permutations: the first scatters the shi
 over a circle, the second, shifted by one place for each coordinate, orders them.
 
 Links are verified on full sets. Buckets are never turned into all their pairs: first
-every member is held against one member of its bucket, which settles buckets of copies;
-what then still lies in different components is compared within blocks of bounded size.
+each member is held against the centre of one of its buckets, which settles groups of
+copies; what then still lies in different components is compared within blocks of
+bounded size. A text travels once for each of these, whatever the number of its buckets.
 """
 
 from __future__ import annotations
@@ -15,17 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table, written
+from scriptorium.llm.common import small, small_batches, table, text_key, text_slices, unused, written
 from scriptorium.llm.graph import components
 from scriptorium.llm.shingles import in_both, mix, shingle_lists
 
 _CIRCLE = 1 << 20
-#: Members of a bucket that one task compares at a time.
+#: Members of a bucket, or of a centre, that one task compares at a time.
 BLOCK = 256
 
-#: Ids (8 bytes each) that are broadcast at most, to read their texts again without a shuffle of all texts.
-BROADCAST_IDS = 1_000_000
-
 _orders: dict[int, np.ndarray] = {}
 
 
@@ -44,7 +42,7 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     """
     places = np.unique(mix(shingles, 5) >> np.uint64(44)).astype(np.int64)
     rows = _shifted(coordinates)
-    return np.minimum.reduce([rows[places[i : i + 8192]].min(axis=0) for i in range(0, len(places), 8192)]).astype(np.uint16)
+    return np.minimum.reduce([rows[places[i : i + 4096]].min(axis=0) for i in range(0, len(places), 4096)]).astype(np.uint16)
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
@@ -56,82 +54,87 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def _node(s: np.ndarray) -> bytes:
+def _set_name(s: np.ndarray) -> bytes:
     """A name of a set: two independent 64-bit sums over it."""
     return np.array([mix(s, 21).sum(dtype=np.uint64), mix(s, 22).sum(dtype=np.uint64)], dtype=">u8").tobytes()
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (name of the shingle set; null without words), n_shingles and sketch (the signature)."""
+    """doc_id, h (hash of the text), set_name (null without words), n_shingles and sketch (the signature)."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in text_slices(batch):
                 sets = shingle_lists(some.column("text").to_pylist(), width)
                 sketches = [signature(s, bands * rows).tobytes() if len(s) else None for s in sets]
                 yield pa.record_batch(
-                    [some.column("doc_id"), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())],
-                    names=["doc_id", "node", "n_shingles", "sketch"],
+                    [some.column("doc_id"), some.column("h"), pa.array([_set_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "h", "set_name", "n_shingles", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, sketch binary")
+    return docs.select("doc_id", text_key().alias("h"), "text").mapInArrow(run, "doc_id long, h long, set_name binary, n_shingles long, sketch binary")
 
 
 def _members(nodes: DataFrame, bands: int) -> DataFrame:
-    """(node, rep, band, key): each node in each of its buckets."""
+    """(key, node, band): each node in each of its buckets."""
 
     def run(batches):
         for batch in batches:
-            keys = [band_keys(np.frombuffer(x.as_buffer(), dtype=np.uint16), bands) for x in batch.column("sketch")]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
-            some = batch.select(["node", "rep"]).take(at)
-            yield pa.record_batch([*some.columns, pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]).view(np.int64))], names=["node", "rep", "band", "key"])
-
-    return nodes.select("node", "rep", "sketch").mapInArrow(run, "node binary, rep long, band int, key long")
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                keys = [band_keys(np.frombuffer(x.as_buffer(), dtype=np.uint16), bands) for x in some.column("sketch")]
+                nodes_ = np.repeat(some.column("node").to_numpy(zero_copy_only=False), bands)
+                yield pa.record_batch([pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]).view(np.int64)), pa.array(nodes_), pa.array(np.tile(np.arange(bands, dtype=np.int32), some.num_rows))], names=["key", "node", "band"])
 
+    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long, band int")
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, read again from the texts of their smallest documents."""
 
-    def run(batches):
-        for batch in batches:
-            sets = shingle_lists(batch.column("text").to_pylist(), width)
-            yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+def _near(inter: int, a: int, b: int, percent: int) -> bool:
+    return 100 * inter >= percent * (a + b - inter)
 
-    ids = wanted.select(F.col("rep").alias("w")).distinct()
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
-    found = texts.select("text").mapInArrow(run, "node binary, shingles binary")
-    # a doc_id that stands for several texts brings more nodes than were asked for
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
+def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(node, text) of the wanted nodes (node, rep, h), written; small requests leave all other texts where they are."""
+    own = docs.select(F.col("doc_id"), text_key().alias("h"), F.col("text"))
+    asked = small(written(wanted.select("node", "rep", F.col("h").alias("rep_h")), "wanted"))
+    found = own.join(asked, (F.col("h") == F.col("rep_h")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    return written(found.dropDuplicates(["node"]) if repeated else found, "texts", "zstd")
 
-def _near(inter: int, a: int, b: int, percent: int) -> bool:
-    return 100 * inter >= percent * (a + b - inter)
 
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) among pairs (u, centre) of nodes: those whose full sets are similar enough.
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) of nodes, those whose full sets are similar enough."""
+    A centre's text goes once to each ``BLOCK`` of its partners, and a partner's to its centre.
+    """
+    counts = pairs.groupBy("centre").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    partners = pairs.join(counts, "centre").select("centre", F.pmod(F.xxhash64("u"), blocks).cast("int").alias("block"), F.col("u").alias("node"), F.lit(1).alias("role"))
+    centres = counts.select("centre", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("centre").alias("node"), F.lit(0).alias("role"))
+    asked = small(written(partners.unionByName(centres), "stars"))
 
     def run(batches):
+        held, whose = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                keep.append(_near(in_both(a, b), len(a), len(b), percent))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for some in text_slices(batch):
+                found: list[tuple[int, int]] = []
+                sets = shingle_lists(some.column("text").to_pylist(), width)
+                for centre, node, role, s in zip(some.column("centre").to_pylist(), some.column("node").to_pylist(), some.column("role").to_pylist(), sets, strict=True):
+                    if not role:
+                        held, whose = s, centre
+                    elif centre == whose and _near(in_both(held, s), len(held), len(s), percent):
+                        found.append((node, centre))
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["u", "v"])
 
-    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
+    dealt = texts.join(asked, "node").select("centre", "block", "role", "node", "text").repartition("centre", "block").sortWithinPartitions("centre", "block", "role")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of buckets whose members lie in several components, with root, main (the most frequent root) and size."""
-    rooted = buckets.join(comps.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """Rows of buckets whose members lie in several components, with root, main (the most frequent root) and size; written."""
+    rooted = written(buckets.join(small(comps).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     found = by_root.groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).where("roots > 1")
-    return rooted.join(found.select("key", "size", "main"), "key")
+    return written(rooted.join(small(written(found.select("key", "size", "main"), "several")), "key"), "open")
 
 
 def _promising(dealt: DataFrame, percent: int, bands: int) -> DataFrame:
@@ -139,13 +142,17 @@ def _promising(dealt: DataFrame, percent: int, bands: int) -> DataFrame:
 
     A pair of different roots is worth it in the first bucket that it shares, if its
     sketches agree in no less than six standard deviations below ``percent`` of their
-    places. So a pair costs its sets once, however many buckets it shares.
+    places. So a pair costs its texts once, however many buckets it shares.
     """
 
     def run(batches):
         group, held, rows, used = None, [], [], None
         matrix = tops = None
 
+        def out(found):
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["key", "block", "node", "root", "role"])
+
         def flush():
             return [r for r, u in zip(rows, used, strict=True) if u] if used is not None else []
 
@@ -162,22 +169,20 @@ def _promising(dealt: DataFrame, percent: int, bands: int) -> DataFrame:
                     continue
                 if used is None:
                     used, matrix = np.zeros(len(held), dtype=bool), np.array(held).reshape(len(held), len(s))
-                    tops = np.array([r[3] for r in rows], dtype=object)
+                    tops = np.array([r[3] for r in rows], dtype=np.int64)
                 same = matrix == s
                 good = (same.mean(axis=1) >= percent / 100 - 6 * np.sqrt(percent * (100 - percent) / len(s)) / 100) & (tops != root)
                 good &= same.reshape(len(held), bands, -1).all(axis=2).argmax(axis=1) == band
                 if good.any():
                     used |= good
                     found.append((key, block, node, root, role))
-            columns = list(zip(*found, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["key", "block", "node", "root", "role"])
-        columns = list(zip(*flush(), strict=True)) or [()] * 5
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["key", "block", "node", "root", "role"])
+            yield out(found)
+        yield out(flush())
 
-    return dealt.mapInArrow(run, "key long, block int, node binary, root binary, role int")
+    return dealt.mapInArrow(run, "key long, block int, node long, root long, role int")
 
 
-def _within_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
+def _within_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, bands: int) -> DataFrame:
     """Links between components, by exact comparison inside buckets.
 
     Members outside their bucket's main component (probes) meet all its members, block by
@@ -189,49 +194,96 @@ def _within_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
     targets = rows.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "root", "band", F.lit(0).alias("role"))
     probes = rows.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "root", "band", F.lit(1).alias("role"))
     dealt = targets.unionByName(probes).join(nodes.select("node", "sketch"), "node").repartition("key", "block").sortWithinPartitions("key", "block", "role")
-    rows = written(_promising(dealt, percent, bands), "promising")
+    asked = small(written(_promising(dealt, percent, bands), "promising"))
 
     def run(batches):
-        group, names, roots, held, index = None, [], [], [], None
-        joined: dict[bytes, bytes] = {}
+        group, roots, held, index = None, [], [], None
+        joined: dict[int, int] = {}
 
-        def top(x: bytes) -> bytes:
+        def top(x: int) -> int:
             while joined.get(x, x) != x:
                 x = joined[x]
             return x
 
+        def places(s: np.ndarray) -> list[int]:
+            """Of a full block, by an index of all its shingles; of a short one, set by set where roots still differ."""
+            nonlocal index
+            if len(held) <= 8:
+                return [i for i, x in enumerate(held) if top(roots[i]) != top(root) and 100 * min(len(x), len(s)) >= percent * max(len(x), len(s)) and _near(in_both(x, s), len(x), len(s), percent)]
+            if index is None:
+                whole, owner = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+                order = np.argsort(whole, kind="stable")
+                index = whole[order], owner[order], np.array([len(x) for x in held])
+            lo, hi = np.searchsorted(index[0], s, "left"), np.searchsorted(index[0], s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            inter = np.bincount(index[1][at], minlength=len(held))
+            return np.flatnonzero(100 * inter >= percent * (index[2] + len(s) - inter)).tolist()
+
         for batch in batches:
-            found = []
-            for key, block, node, root, role, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "node", "root", "role", "shingles")), strict=True):
-                if (key, block) != group:
-                    group, names, roots, held, index = (key, block), [], [], [], None
-                    joined.clear()
-                s = np.frombuffer(raw, dtype=np.uint64)
-                if not role:
-                    names.append(node)
-                    roots.append(root)
-                    held.append(s)
-                    continue
-                if len(held) > 8 and index is None:
-                    whole, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
-                    order = np.argsort(whole, kind="stable")
-                    index = whole[order], owner[order], np.array([len(x) for x in held])
-                if index is not None:
-                    lo, hi = np.searchsorted(index[0], s, "left"), np.searchsorted(index[0], s, "right")
-                    n = hi - lo
-                    at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    inter = np.bincount(index[1][at], minlength=len(held))
-                    near = np.flatnonzero(100 * inter >= percent * (index[2] + len(s) - inter)).tolist()
-                else:
-                    near = [i for i, x in enumerate(held) if top(roots[i]) != top(root) and 100 * min(len(x), len(s)) >= percent * max(len(x), len(s)) and _near(in_both(x, s), len(x), len(s), percent)]
-                for i in near:
-                    if (a := top(roots[i])) != (b := top(root)):
-                        joined[max(a, b)] = min(a, b)
-                        found.append((root, roots[i]))
-            yield pa.record_batch([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["u", "v"])
-
-    dealt = rows.join(sets, "node").repartition("key", "block").sortWithinPartitions("key", "block", "role")
-    return dealt.select("key", "block", "node", "root", "role", "shingles").mapInArrow(run, "u binary, v binary")
+            for some in text_slices(batch):
+                found: list[tuple[int, int]] = []
+                sets = shingle_lists(some.column("text").to_pylist(), width)
+                for key, block, root, role, s in zip(*(some.column(c).to_pylist() for c in ("key", "block", "root", "role")), sets, strict=True):
+                    if (key, block) != group:
+                        group, roots, held, index = (key, block), [], [], None
+                        joined.clear()
+                    if not role:
+                        roots.append(root)
+                        held.append(s)
+                        continue
+                    for i in places(s):
+                        if (a := top(roots[i])) != (b := top(root)):
+                            joined[max(a, b)] = min(a, b)
+                            found.append((root, roots[i]))
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["u", "v"])
+
+    dealt = texts.join(asked, "node").select("key", "block", "role", "root", "text").repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _settled(docs: DataFrame, width: int, percent: int, bands: int, rows: int, star_rounds: int) -> DataFrame:
+    """doc_id, h, n_shingles, component_id and stays ((doc_id, h) of the component's row that stays) for every row; written."""
+    small_batches(docs.sparkSession)
+    sigs = written(signatures(docs, width, bands, rows), "signatures")
+    repeated = not sigs.groupBy("doc_id", "h").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    # nulls come last: a set's first document has an id where any has
+    order = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), F.col("h").alias("h"))
+    sets = sigs.where("n_shingles > 0").groupBy("set_name").agg(F.min(order()).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    nodes = written(sets.select(F.monotonically_increasing_id().alias("node"), "set_name", "first", "copies", "sketch"), "nodes")
+
+    members = _members(nodes, bands)
+    shared = written(members.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1"), "shared")
+    buckets = written(members.join(small(shared), "key"), "buckets")
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "first.rep", "first.h"), "node")
+    texts = _texts(docs, wanted, repeated)
+
+    # each node and the centre of its largest bucket
+    widest = lambda some: some.where("node != centre").groupBy(F.col("node").alias("u")).agg(F.max(F.struct("c", "key", "centre"))["centre"].alias("centre"))
+    links = written(_verified(written(widest(buckets), "pairs"), texts, width, percent), "links")
+    comps = components(links)
+    opened = _open(buckets.select("key", "band", "node", "c"), comps)
+    for turn in range(1, star_rounds):
+        # large buckets only: a few more centres leave little for the blocks
+        large = opened.where(F.col("c") > BLOCK)
+        if large.isEmpty():
+            break
+        mine = F.col("root") == F.col("main")
+        centres = large.where(mine).groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("centre"))
+        pairs = written(widest(large.where(~mine).join(small(written(centres, "centres")), "key")), "pairs")
+        links = written(links.unionByName(_verified(pairs, texts, width, percent)), "links")
+        comps = components(links)
+        opened = _open(buckets.select("key", "band", "node", "c"), comps)
+    last = written(_within_blocks(opened, nodes, texts, width, percent, bands), "links")
+    if not last.isEmpty():
+        comps = components(comps.unionByName(last))
+
+    # only sets of several documents, or linked ones, need a name other than their document's own
+    linked = nodes.join(small(comps).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select("set_name", "copies", "first", F.coalesce("root", "node").alias("root"))
+    least = linked.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("n")).where("n > 1")
+    named = written(linked.join(small(written(least, "least")), "root").select("set_name", "least"), "named")
+    joined = sigs.select("doc_id", "h", "set_name", "n_shingles").join(small(named), "set_name", "left")
+    return joined.select("doc_id", "h", "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.rep")).alias("component_id"), F.when(F.col("least").isNotNull(), F.struct("least.rep", "least.h")).alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, star_rounds: int = 3) -> DataFrame:
@@ -245,48 +297,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     Documents with equal sets are one node from the start, so copies cost a count each.
     Null and empty texts and texts without words have no shingles, are linked with
     nothing and kept. Null doc_ids take part; a component of null doc_ids alone has a
-    null component_id and kept is false there; rows that repeat a doc_id get a row each.
-    No rows give no rows; other columns are ignored.
+    null component_id, and kept is false there unless it is a row by itself; rows that
+    repeat a doc_id get a row each. No rows give no rows; other columns are ignored.
     """
-    sigs = written(signatures(docs, width, bands, rows), "signatures")
-    nodes = written(sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "nodes")
-    members = _members(nodes, bands)
-    shared = members.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1")
-    buckets = written(members.join(shared, "key"), "buckets")
-    sets = written(_sets(docs, buckets.select("node", "rep").distinct(), width), "sets")
-    buckets = buckets.select("key", "band", "node", "centre", "c")
+    found = _settled(docs, width, percent, bands, rows, star_rounds)
+    kept = F.when(F.col("stays").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
-    pairs = buckets.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    links = written(_verified(pairs, sets, percent), "links")
-    comps = components(links)
-    for turn in range(1, star_rounds):
-        # large buckets only: a few more centres leave little for the blocks
-        large = written(_open(buckets.where(F.col("c") > BLOCK), comps), "open")
-        if large.isEmpty():
-            break
-        mine = F.col("root") == F.col("main")
-        centres = large.where(mine).groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("centre"))
-        more = large.where(~mine).drop("centre").join(centres, "key").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-        links = written(links.unionByName(_verified(more, sets, percent)), "links")
-        comps = components(links)
-    last = written(_within_blocks(written(_open(buckets, comps), "open"), nodes, sets, percent, bands), "links")
-    if not last.isEmpty():
-        comps = components(comps.unionByName(last))
-
-    roots = nodes.select("node", "rep").join(comps.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = roots.join(least, "root").select("node", "component_id")
-    joined = sigs.select("doc_id", "node", "n_shingles").join(named, "node", "left")
-    # a null doc_id without words stays; in a group it has no smallest id to be
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    kept = F.when(F.col("n_shingles") > 0, F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).otherwise(F.lit(True))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, star_rounds: int = 3) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, with all its columns.
 
-def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its group, with all their columns."""
-    kept = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    The row that stays has the smallest doc_id, nulls last (of rows that repeat it, one
+    of the least hash of the text). Rows in no group stay, among them all without words:
+    null, empty and blank texts. Columns may have any names; no rows give no rows.
+    """
+    found = written(_settled(docs, width, percent, bands, rows, star_rounds).where("stays IS NOT NULL"), "grouped")
+    own = F.col("doc_id").eqNullSafe(F.col("stays.rep")) & (F.col("h") == F.col("stays.h"))
+    i, h = unused(docs, "doc_key"), unused(docs, "text_key")
+    gone = written(found.where(~own).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct(), "gone")
+    twice = written(found.where(own).groupBy(F.col("doc_id").alias(i), F.col("h").alias(h)).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "twice")
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (text_key() == F.col(h))
+    left = docs.join(small(gone), same, "left_anti")
+    if twice.isEmpty():
+        return left
+    once = left.join(small(twice), same).dropDuplicates([i, h]).select(*docs.columns)
+    return left.join(small(twice), same, "left_anti").unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
