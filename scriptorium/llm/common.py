@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a handful of numbers that are broadcast at most; beyond it they meet others by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a file, where a table's size is known before it is written.
+FILE_ROWS = 8_192
 #: Rows that Spark hands to Python at a time where they hold texts.
 BATCH_ROWS = 1_000
 
@@ -39,10 +41,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    ``rows``, about how many there are, keeps small tables out of very many small files:
+    a task takes ``FILE_ROWS`` rows or more where the plan has more tasks than that.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    df = df if rows is None else df.coalesce(max(2, -(-rows // FILE_ROWS)))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,20 +24,20 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") > F.col("v")).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None, most_rounds: int = 40) -> DataFrame:
     """(u, v): each linked node u other than its component's smallest node v.
 
-    links: any pairs (u, v) of one comparable type; loops, repeats and either order are
-    fine. Every round is written to the shared folder. It ends when a round changes
+    links: any pairs (u, v) of one comparable type, about ``rows``; loops, repeats and
+    either order are fine, and no links give no rows. Every round is written to the shared folder. It ends when a round changes
     nothing; the number of rounds grows with the logarithm of the longest chain.
     """
-    now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") > F.col("v")).distinct(), "links")
+    now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") > F.col("v")).distinct(), "links", rows=rows)
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     before = mark(now)
     for _ in range(most_rounds):
         if not before[0]:
             return now
-        now = written(_star(_star(now, large=True), large=False), "links")
+        now = written(_star(_star(now, large=True), large=False), "links", rows=before[0])
         if (after := mark(now)) == before:
             return now
         before = after

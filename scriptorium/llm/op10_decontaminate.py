@@ -13,10 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table, written
-
-#: Sketch rows that are broadcast at most (16 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from scriptorium.llm.common import small, table, text_key, unused, written
 
 
 def words(text: Column) -> Column:
@@ -24,9 +21,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _with_words(rows: DataFrame, key: str) -> DataFrame:
+def _with_words(rows: DataFrame, *keys: str) -> DataFrame:
     """Words as a column of their own, so that they are cut once and not for each shingle."""
-    return rows.select(key, words(F.col("text")).alias("ws"))
+    return rows.select(*keys, words(F.col("text")).alias("ws"))
 
 
 def _windows(ws: Column, width: int, of) -> Column:
@@ -62,6 +59,24 @@ def sketches(items: DataFrame, width: int, percent: int) -> DataFrame:
     return sets.select("item_id", F.explode(F.slice("s", 1, length)).alias("h"), (length - missed).alias("need"))
 
 
+def _contained(docs: DataFrame, keys: list[str], items: DataFrame, width: int, percent: int) -> DataFrame:
+    """As :func:`contained_items`, for documents that ``keys`` tell apart; the first may be null."""
+    sketch = written(sketches(items, width, percent).dropDuplicates(["item_id", "h"]), "sketch").withColumnRenamed("h", "shingle_hash")
+    shingles = _with_words(docs, *keys).select(*keys, F.explode(_hashes(F.col("ws"), width)).alias("shingle_hash"))
+    hits = shingles.join(small(sketch), "shingle_hash").distinct()
+    found = written(hits.groupBy(*keys, "item_id").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select(*keys, "item_id"), "candidates")
+
+    # exact: the shingles themselves, of candidates only
+    of_items = _with_words(items.join(found.select("item_id").distinct(), "item_id", "left_semi"), "item_id").select("item_id", F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle")).distinct()
+    sizes = of_items.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    ids = written(found.select(*(F.col(k).alias(f"{k}_found") for k in keys)).distinct(), "found")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_found")) for k in keys]
+    of_docs = _with_words(docs.join(small(ids), same, "left_semi"), *keys).select(*keys, F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle"))
+    shared = of_docs.join(of_items, "shingle").distinct().groupBy(*keys, "item_id").agg(F.count("*").alias("n_shared"))
+    out = shared.join(sizes, "item_id").where(100 * F.col("n_shared") >= percent * F.col("n_item"))
+    return out.select(*keys, "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) where a document holds at least ``percent`` % of an item.
 
@@ -72,27 +87,19 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     item_id are left out. Whole texts are
     used; no rows give no rows; other columns are ignored.
     """
-    sketch = written(sketches(items, width, percent), "sketch").dropDuplicates(["item_id", "h"])
-    small = sketch.count() <= BROADCAST_ROWS
-    shingles = _with_words(docs, "doc_id").select("doc_id", F.explode(_hashes(F.col("ws"), width)).alias("h"))
-    hits = shingles.join(F.broadcast(sketch) if small else sketch, "h").distinct()
-    found = written(hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id", "item_id"), "candidates")
+    return _contained(docs.select("doc_id", "text"), ["doc_id"], items, width, percent)
 
-    # exact: the shingles themselves, of candidates only
-    of_items = _with_words(items.join(found.select("item_id").distinct(), "item_id", "left_semi"), "item_id").select("item_id", F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle")).distinct()
-    sizes = of_items.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    ids = found.select(F.col("doc_id").alias("d")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    of_docs = _with_words(texts, "doc_id").select("doc_id", F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle"))
-    shared = of_docs.join(of_items, "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    out = shared.join(sizes, "item_id").where(100 * F.col("n_shared") >= percent * F.col("n_item"))
-    return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns.
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    found = written(contained_items(docs, items, **settings).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    Each row is judged by its own text, also where doc_ids are null or repeat; null and
+    empty texts stay. Columns may have any names; no rows give no rows.
+    """
+    own = docs.select("doc_id", text_key().alias("text_key"), "text")
+    i, h = unused(docs, "doc_key"), unused(docs, "text_key_")
+    found = _contained(own, ["doc_id", "text_key"], items, width, percent).select(F.col("doc_id").alias(i), F.col("text_key").alias(h)).distinct()
+    return docs.join(small(written(found, "contaminated")), [F.col("doc_id").eqNullSafe(F.col(i)), text_key() == F.col(h)], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches, table, text_slices, written
+from scriptorium.llm.common import small, small_batches, table, text_slices, written
 from scriptorium.llm.shingles import word_hashes
 
 #: Kinds of code points below 592; above them all count as letters.
@@ -172,6 +172,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -
     as texts of nothing; null and repeated doc_ids pass through; without labels the score
     is 0.5; null labels are left out; no rows give no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     stats = written(with_statistics(docs), "statistics")
     model = fit(stats, labels, shrinkage)
 
@@ -186,10 +187,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, shrinkage: float = 0.1) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) that score at least ``least``, as they are.
 
-    Learns as :func:`quality_scores` does; texts are read a second time rather than
-    shuffled to meet their scores. Without labels all rows stay.
+    Learns as :func:`quality_scores` does, from the statistics of labelled rows only; then
+    texts are scored where they lie. Null and empty texts score as texts of nothing; null
+    and repeated doc_ids are scored row by row. Without labels all rows stay; no rows give
+    no rows.
     """
-    model = fit(with_statistics(docs), labels, shrinkage)
+    small_batches(docs.sparkSession)
+    ids = small(written(labels.where("label IN (0, 1)").select(F.col("doc_id").alias("labelled")).distinct(), "label-ids"))
+    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("labelled"), "left_semi")
+    model = fit(with_statistics(rows), labels, shrinkage)
 
     def run(batches):
         for batch in batches:

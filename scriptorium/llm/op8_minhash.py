@@ -93,16 +93,16 @@ def _near(inter: int, a: int, b: int, percent: int) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool, many: int) -> DataFrame:
     """(node, text) of the wanted nodes (node, rep, h), written; small requests leave all other texts where they are."""
     own = docs.select(F.col("doc_id"), text_key().alias("h"), F.col("text"))
-    asked = small(written(wanted.select("node", "rep", F.col("h").alias("rep_h")), "wanted"))
+    asked = small(written(wanted.select("node", "rep", F.col("h").alias("rep_h")), "wanted", rows=many))
     found = own.join(asked, (F.col("h") == F.col("rep_h")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     return written(found.dropDuplicates(["node"]) if repeated else found, "texts", "zstd")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) among pairs (u, centre) of nodes: those whose full sets are similar enough.
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, many: int) -> DataFrame:
+    """Links (u, v) among about ``many`` pairs (u, centre) of nodes: those whose full sets are similar enough.
 
     A centre's text goes once to each ``BLOCK`` of its partners, and a partner's to its centre.
     """
@@ -110,7 +110,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     partners = pairs.join(counts, "centre").select("centre", F.pmod(F.xxhash64("u"), blocks).cast("int").alias("block"), F.col("u").alias("node"), F.lit(1).alias("role"))
     centres = counts.select("centre", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("centre").alias("node"), F.lit(0).alias("role"))
-    asked = small(written(partners.unionByName(centres), "stars"))
+    asked = small(written(partners.unionByName(centres), "stars", rows=many))
 
     def run(batches):
         held, whose = None, None
@@ -129,12 +129,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of buckets whose members lie in several components, with root, main (the most frequent root) and size; written."""
-    rooted = written(buckets.join(small(comps).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+def _open(buckets: DataFrame, comps: DataFrame, many: int) -> DataFrame:
+    """Rows of the ``many`` of buckets whose members lie in several components, with root, main (the most frequent root) and size; written."""
+    rooted = written(buckets.join(small(comps).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted", rows=many)
     by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     found = by_root.groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).where("roots > 1")
-    return written(rooted.join(small(written(found.select("key", "size", "main"), "several")), "key"), "open")
+    return written(rooted.join(small(written(found.select("key", "size", "main"), "several", rows=many // 2)), "key"), "open", rows=many)
 
 
 def _promising(dealt: DataFrame, percent: int, bands: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _promising(dealt: DataFrame, percent: int, bands: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, block int, node long, root long, role int")
 
 
-def _within_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, bands: int) -> DataFrame:
+def _within_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, bands: int, many: int) -> DataFrame:
     """Links between components, by exact comparison inside buckets.
 
     Members outside their bucket's main component (probes) meet all its members, block by
@@ -194,7 +194,7 @@ def _within_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, width: i
     targets = rows.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "root", "band", F.lit(0).alias("role"))
     probes = rows.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "root", "band", F.lit(1).alias("role"))
     dealt = targets.unionByName(probes).join(nodes.select("node", "sketch"), "node").repartition("key", "block").sortWithinPartitions("key", "block", "role")
-    asked = small(written(_promising(dealt, percent, bands), "promising"))
+    asked = small(written(_promising(dealt, percent, bands), "promising", rows=many))
 
     def run(batches):
         group, roots, held, index = None, [], [], None
@@ -255,14 +255,19 @@ def _settled(docs: DataFrame, width: int, percent: int, bands: int, rows: int, s
     members = _members(nodes, bands)
     shared = written(members.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1"), "shared")
     buckets = written(members.join(small(shared), "key"), "buckets")
+    many = buckets.count()
     wanted = buckets.select("node").distinct().join(nodes.select("node", "first.rep", "first.h"), "node")
-    texts = _texts(docs, wanted, repeated)
+    texts = _texts(docs, wanted, repeated, many)
+    buckets_of = buckets.select("key", "band", "node", "c")
 
-    # each node and the centre of its largest bucket
-    widest = lambda some: some.where("node != centre").groupBy(F.col("node").alias("u")).agg(F.max(F.struct("c", "key", "centre"))["centre"].alias("centre"))
-    links = written(_verified(written(widest(buckets), "pairs"), texts, width, percent), "links")
-    comps = components(links)
-    opened = _open(buckets.select("key", "band", "node", "c"), comps)
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verified links of each row's node and the centre of the largest of its buckets there."""
+        widest = pairs.where("node != centre").groupBy(F.col("node").alias("u")).agg(F.max(F.struct("c", "key", "centre"))["centre"].alias("centre"))
+        return _verified(written(widest, "pairs", rows=many), texts, width, percent, many)
+
+    links = written(linked(buckets), "links", rows=many)
+    comps = components(links, many)
+    opened = _open(buckets_of, comps, many)
     for turn in range(1, star_rounds):
         # large buckets only: a few more centres leave little for the blocks
         large = opened.where(F.col("c") > BLOCK)
@@ -270,18 +275,17 @@ def _settled(docs: DataFrame, width: int, percent: int, bands: int, rows: int, s
             break
         mine = F.col("root") == F.col("main")
         centres = large.where(mine).groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("centre"))
-        pairs = written(widest(large.where(~mine).join(small(written(centres, "centres")), "key")), "pairs")
-        links = written(links.unionByName(_verified(pairs, texts, width, percent)), "links")
-        comps = components(links)
-        opened = _open(buckets.select("key", "band", "node", "c"), comps)
-    last = written(_within_blocks(opened, nodes, texts, width, percent, bands), "links")
+        links = written(links.unionByName(linked(large.where(~mine).join(small(written(centres, "centres", rows=many)), "key"))), "links", rows=many)
+        comps = components(links, many)
+        opened = _open(buckets_of, comps, many)
+    last = written(_within_blocks(opened, nodes, texts, width, percent, bands, many), "links", rows=many)
     if not last.isEmpty():
-        comps = components(comps.unionByName(last))
+        comps = components(comps.unionByName(last), many)
 
     # only sets of several documents, or linked ones, need a name other than their document's own
-    linked = nodes.join(small(comps).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select("set_name", "copies", "first", F.coalesce("root", "node").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("n")).where("n > 1")
-    named = written(linked.join(small(written(least, "least")), "root").select("set_name", "least"), "named")
+    rooted = nodes.join(small(comps).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select("set_name", "copies", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("n")).where("n > 1")
+    named = written(rooted.join(small(written(least, "least", rows=many)), "root").select("set_name", "least"), "named")
     joined = sigs.select("doc_id", "h", "set_name", "n_shingles").join(small(named), "set_name", "left")
     return joined.select("doc_id", "h", "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.rep")).alias("component_id"), F.when(F.col("least").isNotNull(), F.struct("least.rep", "least.h")).alias("stays"))
 
