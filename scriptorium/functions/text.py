@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # White space, word characters, digits and CJK as Unicode classes (Java and RE2 syntax).
 BLANKS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{BLANKS}]"
+BLANK_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = (
     r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}"
@@ -33,18 +34,28 @@ FENCE_CLOSE = rf"{WS}*```\z"
 OBJECT = r"(?s)\{.*\}"
 
 
+# The same rules for a whole text at once (Java syntax): a hyphen between words, whose left
+# one is not the right one of the hyphen before; the blanks around a line's end; a line
+# that is short, of numbers or of marks only, or holds the picture mark.
+_HYPHEN = rf"-(?<={WORD}-)(?<!\G-)"
+# (?![!-~]) rules most places out before the large class of blanks is asked.
+_FLAT = BLANKS.replace(r"\t-\r", r"\t\x{b}-\r")
+_EDGES = rf"(?![!-~])[{_FLAT}]*+\n{WS}*+"
+_NOISE = rf"(?:\A|\n)(?:[^\n]{{1,2}}|[0-9{_FLAT}.,;:]++|[^\p{{L}}\p{{N}}_\n]++|[^\n<]*+(?:<(?!{PICTURE[1:]})[^\n<]*+)*+{PICTURE}[^\n]*+)(?=\n|\z)"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def clean_text(c: Column) -> Column:
     """Soft hyphens and hyphenation out, blanks collapsed, noise lines dropped."""
-    c = F.translate(c, "\xad", "")
-    c = F.regexp_replace(F.regexp_replace(c, HYPHEN_LINE, "$1$2"), HYPHEN_BLANK, "$1$2")
-    c = F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n")
-    lines = F.transform(F.split(c, "\n"), strip)
-    good = lambda x: (F.length(x) >= 3) & ~x.rlike(NUMBERS_ONLY) & ~x.rlike(MARKS_ONLY) & ~F.contains(x, F.lit(PICTURE))
-    return F.array_join(F.filter(lines, good), "\n")
+    c = F.replace(c, F.lit("\xad"), F.lit(""))
+    c = F.regexp_replace(c, rf"{_HYPHEN}{WS}*\n{WS}*({WORD})", "$1")
+    c = F.regexp_replace(c, rf"{_HYPHEN}{WS}+({WORD})", "$1")
+    c = F.regexp_replace(c, "[ \t]+", " ")
+    c = F.regexp_replace(strip(c), _EDGES, "\n")
+    return F.regexp_replace(F.regexp_replace(c, _NOISE, ""), r"\A\n", "")
 
 
 def strip_tags(c: Column) -> Column:
@@ -56,17 +67,32 @@ def count_chars(c: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(c, "[^" + kind[1:-1] + "]+", ""))
 
 
+def digits(c: Column) -> Column:
+    """Digits of any script. Other ASCII goes first, by a class that is cheap to test."""
+    return count_chars(F.regexp_replace(c, r"[\x{0}-/:-\x{7f}]+", ""), DIGIT)
+
+
 def english_words(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit("[a-zA-Z]+"), 0))
 
 
+def _stretches(c: Column, marks: str, least: int) -> Column:
+    """Pieces between ``marks`` (the inside of a class) with ``least`` characters or more after stripping.
+
+    One match a piece, from its first character that is no blank to its last.
+    """
+    edge, inside = f"[^{BLANKS}{marks}]", f"[^{marks}]"
+    return F.regexp_count(c, F.lit(edge if least == 1 else f"{edge}{inside}{{{least - 2},}}{edge}"))
+
+
 def pieces(c: Column, marks: str, longer: int) -> Column:
     """Pieces between ``marks`` that have more than ``longer`` characters after stripping."""
-    return F.size(F.filter(F.split(c, marks), lambda s: F.length(strip(s)) > longer))
+    return _stretches(c, marks, longer + 1)
 
 
-def filled_lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
+def line_count(c: Column) -> Column:
+    """Lines with anything but blanks."""
+    return F.regexp_count(c, F.lit(f"[^{BLANKS}][^\n]*+"))
 
 
 def breaks(c: Column) -> Column:
@@ -75,9 +101,8 @@ def breaks(c: Column) -> Column:
 
 def too_many_short_lines(c: Column, share: float = 0.5) -> Column:
     """More than ``share`` of the filled lines have fewer than 15 characters; true without lines."""
-    n = F.size(filled_lines(c))
-    short = F.size(F.filter(filled_lines(c), lambda x: F.length(x) < 15))
-    return F.when(n == 0, F.lit(True)).otherwise(short / n > share)
+    n = line_count(c)
+    return F.coalesce((n - _stretches(c, "\n", 15)) / F.nullif(n, F.lit(0)) > share, F.lit(True))
 
 
 def is_figure_caption(c: Column) -> Column:
@@ -89,13 +114,13 @@ def is_figure_caption(c: Column) -> Column:
 def reject_reason(c: Column) -> Column:
     """Name of the first quality rule that a chunk fails, or ok."""
     n, cjk = F.length(c), count_chars(c, CJK)
-    note = F.contains(c, F.lit("<!--")) & (pieces(c, "[.!?]+", 15) < 3) & (cjk < 80)
+    note = F.contains(c, F.lit("<!--")) & (pieces(c, ".!?", 15) < 3) & (cjk < 80)
     return (
         F.when(n < 120, "short")
-        .when(count_chars(c, DIGIT) / n > 0.2, "digits")
+        .when(digits(c) / n > 0.2, "digits")
         .when((count_chars(c, r"[\p{L}]") + cjk) / n < 0.5, "letters")
         .when((english_words(c) < 25) & (cjk < 50), "words")
-        .when(pieces(c, "[.!?。！？]+", 10) < 2, "sentences")
+        .when(pieces(c, ".!?。！？", 10) < 2, "sentences")
         .when(too_many_short_lines(c), "shortlines")
         .when(is_figure_caption(c), "caption")
         .when(note, "note")

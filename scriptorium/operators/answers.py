@@ -36,12 +36,13 @@ def chat_history(turns: DataFrame, most: int = 6) -> DataFrame:
     A user turn whose next row is no answer is not part of later histories; system rows
     are left out. turns: conv_id, turn, role, text.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    spoken = turns.where("role IN ('user', 'assistant')").withColumn("next", F.lead("role").over(w))
-    counts = (F.col("role") == "assistant") | (F.col("next") == "assistant")
-    before = F.collect_list(F.when(counts, F.struct("role", "text"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    last = F.slice(before, F.greatest(F.size(before) - (most - 1), F.lit(1)), F.lit(most))
-    return spoken.select("conv_id", "turn", "role", F.col("text").alias("question"), last.alias("history")).where("role = 'user'").drop("role")
+    turn, conv = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
+    spoken = turns.where("role IN ('user', 'assistant')").withColumn("next", F.lead("role").over(turn))
+    answered = F.when((F.col("role") == "assistant") | (F.col("next") == "assistant"), F.struct("role", "text"))
+    # messages count from 0; a row sees those with the last numbers before its own, not the whole past
+    numbered = spoken.withColumn("message", answered).withColumn("n", F.count("message").over(turn.rowsBetween(Window.unboundedPreceding, -1)))
+    last = F.collect_list("message").over(conv.orderBy("n").rangeBetween(-most, -1))
+    return numbered.select("conv_id", "turn", "role", F.col("text").alias("question"), last.alias("history")).where("role = 'user'").drop("role")
 
 
 def spoken_lines(history: Column) -> Column:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import clean_text, reject_reason, strip
+from scriptorium.functions.text import clean_text, reject_reason
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
-    """(source, page, chunk_no, text): cleaned pages, split at blank lines. Cleaning drops those, so a page is a chunk."""
-    clean = pages.select("source", "page", clean_text(F.col("text")).alias("clean"))
-    cut = clean.select("source", "page", F.posexplode(F.split("clean", "\n\n")).alias("n", "piece"))
-    return cut.select("source", "page", (F.col("n") + 1).alias("chunk_no"), strip(F.col("piece")).alias("text")).where("text != ''")
+    """(source, page, chunk_no, text): cleaned pages, split at blank lines. Cleaning drops those, so a page is a chunk.
+
+    Cleaned lines are stripped, and so is a piece between blank lines. The Generate makes
+    the text a column of its own, which rules then read without cleaning it again.
+    """
+    cut = pages.select("source", "page", F.posexplode(F.split(clean_text(F.col("text")), "\n\n")).alias("n", "text"))
+    return cut.where("text != ''").select("source", "page", (F.col("n") + 1).alias("chunk_no"), "text")
 
 
 def with_reason(chunks: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import records as R
 from scriptorium.functions import text as T
+from scriptorium.sources.papers import scratch_path
 
 SCAN = 200
 # Columns of the summary table, in order.
@@ -15,15 +18,45 @@ SUMMARY = (
     "data_source experimental_design analysis_process key_findings contributions limitations_reported limitations_inferred relevance_score path"
 ).split()
 
+SYSTEM = "你阅读学术论文并填写结构化记录。除标题外一律用中文；只写论文里有的内容，读不出的写“未识别”；只输出一个 JSON 对象，不加代码块标记。"
+REQUEST = """为下面的论文填写一个 JSON 对象，主题：{topic}
+
+字段（一个不多，一个不少）：
+{fields}
+
+证据：
+- 页码只取自正文中的 ===== PAGE n ===== 标记，不推算；定位不到就给空列表。
+- 原文片段逐字抄录，最多 80 字；没有就给空字符串。
+- limitations_reported 只收作者写明的局限，推断的写进 limitations_inferred，措辞留有余地。
+
+题目："""
+FIELD_HELP = {
+    "extracted_title": "正文里的完整标题", "authors": "作者列表，按正文顺序", "year": "年份，读不出为 null", "journal": "期刊或来源，读不出为 null",
+    "research_background": "背景与动机", "research_question": "核心问题", "research_objective": "要达到的目标",
+    "research_method": "总体方法（范式或工具），对象：text、evidence_pages、evidence_excerpt",
+    "model_or_framework": "理论、模型、指标体系或技术路线", "data_source": "数据与样本，用原文专名，对象，同上",
+    "experimental_design": "具体做法：变量、分组、指标、检验", "analysis_process": "主要步骤", "key_findings": "结论列表，每条是对象，同上",
+    "contributions": "创新与价值", "limitations_reported": "列表", "limitations_inferred": "列表", "relevance_score": "与主题的相关性，1 到 10 分，附简短理由",
+}
+
 
 def is_scan(text: Column) -> Column:
     return F.length(T.strip(text)) < SCAN
 
 
 def request_prompts(papers: DataFrame, topic: str) -> DataFrame:
-    """(path, prompt) for papers with enough text: path, title, full_text, prompt_text in."""
-    parts = [F.lit("请按字段说明输出 JSON。主题："), F.lit(topic), F.lit("\n题目："), F.col("title"), F.lit("\n内容：\n"), F.col("prompt_text")]
-    return papers.where(~is_scan(F.col("full_text"))).select("path", F.concat(*parts).alias("prompt"))
+    """(request_id, path, system_prompt, prompt) for papers with enough text: path, title, full_text, prompt_text in.
+
+    The prompt names every field of the record and the rules for evidence. request_id is a
+    hash of the path, so that asking again gives the same id.
+    """
+    parts = [F.lit(REQUEST.format(topic=topic, fields="\n".join(f"- {k}：{v}" for k, v in FIELD_HELP.items()))), F.col("title"), F.lit("\n内容：\n"), F.col("prompt_text")]
+    return papers.where(~is_scan(F.col("full_text"))).select(F.sha2("path", 256).alias("request_id"), "path", F.lit(SYSTEM).alias("system_prompt"), F.concat(*parts).alias("prompt"))
+
+
+def write_requests(requests: DataFrame, folder: str) -> None:
+    """Requests as JSON lines, for whatever sends them."""
+    requests.write.json(folder)
 
 
 def paper_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
@@ -96,6 +129,7 @@ def markdown_cards(records: DataFrame) -> DataFrame:
     title = F.coalesce(F.when(F.col("extracted_title") != "", F.col("extracted_title")), "original_filename")
     listed = lambda f: T.numbered(F.col(f))
     or_else = lambda c, x: F.coalesce(F.when(c != "", c), F.lit(x))
+    # Headings and stand-ins of a card, in order.
     head = [("作者", or_else(F.array_join("authors", "、"), "未识别")), ("年份", or_else(F.col("year"), "未识别")), ("期刊/来源", or_else(F.col("journal"), "未识别")), ("DOI", or_else(F.col("doi"), "—")), ("DOI 状态", F.col("doi_status"))]
     body = [
         ("研究背景", listed("research_background")), ("研究问题", listed("research_question")), ("研究目标", listed("research_objective")), ("研究方法", T.evidence_markdown(F.col("research_method"))),
@@ -118,32 +152,51 @@ def markdown_cards(records: DataFrame) -> DataFrame:
 
 
 def review_entries(records: DataFrame) -> DataFrame:
-    """(path, entry): what the review list says of each record that needs one."""
+    """(n, path, entry): what the review list says of each record that needs one, numbered in order of path."""
     raw = F.coalesce(F.when(F.col("raw_text") != "", F.col("raw_text")), F.when(F.col("raw_llm_response") != "", F.col("raw_llm_response")))
     shown = F.when(raw.isNotNull(), F.concat(F.lit("**原始内容（前 500 字符）：**\n```\n"), F.substring(raw, 1, 500), F.lit("\n```"))).otherwise(F.lit("**原始内容：** 无"))
     reasons = F.array_join(F.transform("reasons", lambda r: F.concat(F.lit("- "), r)), "\n")
-    return records.where("needs_review").select("path", F.concat(F.lit("## "), F.col("original_filename"), F.lit("\n\n**触发原因：**\n"), reasons, F.lit("\n\n"), shown).alias("entry"))
+    rest = F.concat(F.coalesce("original_filename", F.lit("未知文件")), F.lit("\n\n**触发原因：**\n"), reasons, F.lit("\n\n"), shown)
+    return numbered(records.where("needs_review").select("path", rest.alias("rest"))).select("n", "path", F.concat(F.lit("## "), F.col("n").cast("string"), F.lit(". "), F.col("rest")).alias("entry"))
+
 
+def numbered(rows: DataFrame, key: str = "path") -> DataFrame:
+    """``rows`` with ``n``, from 1 in order of ``key``: sorted ranges, each offset by the rows before it.
 
-def numbered_entries(entries: DataFrame) -> DataFrame:
-    """(n, path, entry) in order of path: numbers by sorted ranges, each offset by the rows before it."""
-    ranged = entries.repartitionByRange("path").sortWithinPartitions("path").withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
-    own = ranged.withColumn("k", F.col("i") - F.shiftleft(F.col("p").cast("long"), 33))
-    sizes = own.groupBy("p").agg(F.count("*").alias("c"))
-    before = sizes.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return own.join(before, "p").select((F.col("before") + F.col("k") + 1).alias("n"), "path", "entry")
+    The ranges are written first, since a range partitioning that is computed twice need
+    not cut at the same places.
+    """
+    spark = rows.sparkSession
+    at = scratch_path(spark, "numbered")
+    ranged = rows.repartitionByRange(key).sortWithinPartitions(key).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
+    ranged.write.parquet(at)
+    own = spark.read.schema(ranged.schema).parquet(at)
+    # one row a range
+    before = own.groupBy("_p").agg(F.count("*").alias("c")).select("_p", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33) + 1
+    return own.join(F.broadcast(before), "_p").select(place.alias("n"), *rows.columns)
+
+
+def review_list(records: DataFrame, when: str) -> DataFrame:
+    """(n, text): the review list as one document in pieces: a head with the time and the count, then each entry and a rule."""
+    entries = review_entries(records)
+    head = entries.agg(F.count("*").alias("c")).where("c > 0").select(F.lit(0).cast("long").alias("n"), F.concat(F.lit(f"# 人工确认清单\n\n生成时间：{when}\n待确认论文数："), F.col("c").cast("string"), F.lit("\n\n---\n")).alias("text"))
+    return head.unionByName(entries.select("n", F.concat("entry", F.lit("\n\n---\n")).alias("text")))
 
 
-def write_reports(records: DataFrame, folder: str) -> None:
-    """All records as JSON lines, the summary table as Parquet and CSV, cards, and the review list where there is one."""
+def write_reports(records: DataFrame, folder: str, when: str | None = None) -> None:
+    """All records as JSON lines, the summary table as Parquet and CSV, cards, and the review list where there is one.
+
+    The review list is text in order; its part files one after another are the document.
+    """
     records.write.json(f"{folder}/records")
     rows = summary_rows(records)
     rows.write.parquet(f"{folder}/summary")
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{folder}/summary_csv")
     markdown_cards(records).write.parquet(f"{folder}/cards")
-    entries = review_entries(records)
-    if not entries.isEmpty():
-        numbered_entries(entries).write.parquet(f"{folder}/review_list")
+    listed = review_list(records, when or f"{datetime.now():%Y-%m-%d %H:%M:%S}")
+    if not listed.isEmpty():
+        listed.orderBy("n").select("text").write.text(f"{folder}/review_list")
 
 
 def column_widths(rows: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries that are broadcast at a time; larger sets are answered block by block.
-QUERY_BLOCK = 2_000
+QUERY_BLOCK = 10_000
 
 
 def hash_vectors(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
@@ -31,37 +34,102 @@ def embed_with(rows: DataFrame, batch_function, schema: str) -> DataFrame:
     return rows.mapInPandas(batch_function, schema)
 
 
+def embed_from(rows: DataFrame, vectors: DataFrame, key: str, batch: str | None = None) -> DataFrame:
+    """``rows`` with the ``embedding`` that ``vectors`` (key, embedding) has for them; rows without one are left out.
+
+    With ``batch``, a column that says which rows were sent together, a batch in which any
+    row has no vector gives nothing, as a failed call would.
+    """
+    joined = rows.join(vectors.where("embedding IS NOT NULL").select(key, "embedding").dropDuplicates([key]), key, "left")
+    if batch is None:
+        return joined.where("embedding IS NOT NULL")
+    failed = joined.where("embedding IS NULL").select(batch).distinct()
+    return joined.join(failed, batch, "left_anti").select(*joined.columns)
+
+
 def vector_profile(vectors: DataFrame) -> DataFrame:
     """shortest, longest, missing, vectors: mixed lengths show before a search fails on them."""
     n = F.size("embedding")
     return vectors.agg(F.min(F.when(F.col("embedding").isNotNull(), n)).alias("shortest"), F.max(F.when(F.col("embedding").isNotNull(), n)).alias("longest"), F.count_if(F.col("embedding").isNull()).alias("missing"), F.count("*").alias("vectors"))
 
 
-def distance(q: Column, e: Column, metric: str) -> Column:
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-    dot = total(F.zip_with(q, e, lambda x, y: x.cast("double") * y.cast("double")), lambda x: x)
-    if metric in ("sql2", "l2"):
-        squared = total(F.zip_with(q, e, lambda x, y: x.cast("double") - y.cast("double")), lambda x: x * x)
-        return F.sqrt(squared) if metric == "l2" else squared
-    if metric == "ip":
-        return 1 - dot
-    size = lambda a: F.sqrt(total(a, lambda x: x.cast("double") * x.cast("double")))
-    return 1 - dot / (size(q) * size(e))
+def _usable(rows: DataFrame, name: str, vector: str, metric: str) -> DataFrame:
+    """Rows with an id and a vector, all of it finite, and for cosine with a direction."""
+    v = F.col(vector)
+    good = F.col(name).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(good & F.exists(v, lambda x: x != 0) if metric == "cosine" else good)
 
 
-def knn(queries: DataFrame, store: DataFrame, k: int = 6, metric: str = "sql2", query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, distance): the ``k`` nearest rows of ``store`` for each query.
+def require_equal_lengths(queries: DataFrame, store: DataFrame) -> int | None:
+    """The one length of all vectors of both tables; raises where there are several; None without vectors."""
+    sizes = lambda rows, v: rows.select(F.size(v).alias("n"))
+    found = sizes(queries, "q").unionByName(sizes(store, "embedding")).agg(F.min("n"), F.max("n")).first()
+    if found[0] != found[1]:
+        raise ValueError(f"vectors of {found[0]} to {found[1]} components; embed all with one model first")
+    return found[0]
 
-    queries: (query_id, q); store: (vec_id, embedding). The store streams past a block of
-    at most about ``query_block`` queries, and each task keeps k rows a query before the
-    shuffle; more queries mean more passes, not a larger broadcast.
+
+def distances(q: np.ndarray, e: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row of ``q`` to each row of ``e``, component by component, so that equal vectors are equally far."""
+    out = np.zeros((len(q), len(e)))
+    for j in range(q.shape[1]):
+        a, b = q[:, j, None], e[None, :, j]
+        out += (a - b) ** 2 if metric in ("sql2", "l2") else a * b
+    if metric == "l2":
+        return np.sqrt(out)
+    if metric == "cosine":
+        size = lambda x: np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1])
+        out /= size(q)[:, None] * size(e)[None, :]
+    return out if metric == "sql2" else 1 - out
+
+
+def knn(queries: DataFrame, store: DataFrame, k: int = 6, metric: str = "sql2", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the ``k`` nearest rows of ``store`` for each query, ties by vec_id.
+
+    queries: (query_id, q); store: (vec_id, embedding); metric: sql2, l2, ip or cosine.
+    Rows without an id, and vectors that are null, hold a null or a number that is not finite (for cosine, or are
+    all zeros) take no part; vectors of different lengths raise before the search. Rows
+    that repeat an id each count. The store streams past a block of at most about
+    ``query_block`` queries, in batches of vectors, and each task keeps k rows a query
+    before the shuffle; more queries mean more passes, not a larger broadcast.
     """
+    spark = store.sparkSession
+    queries, store = _usable(queries.select("query_id", "q"), "query_id", "q", metric), _usable(store.select("vec_id", "embedding"), "vec_id", "embedding", metric)
+    dims = require_equal_lengths(queries, store)
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *store.schema]}
+    schema = f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, distance double"
+    if not dims:
+        return spark.createDataFrame([], f"query_id {kinds['query_id']}, rank int, vec_id {kinds['vec_id']}, distance double")
     blocks = -(-queries.count() // query_block) or 1
+
+    def search(asked: list[tuple]) -> DataFrame:
+        held = spark.sparkContext.broadcast(([r[0] for r in asked], np.array([r[1] for r in asked], dtype=np.float64).reshape(len(asked), dims)))
+
+        def run(batches):
+            names, q = held.value
+            whose, ids, far = np.zeros(0, dtype=np.int64), None, np.zeros(0)
+            limit = np.full(len(q), np.inf)  # the k-th distance so far
+            step = max(1, 2_000_000 // max(1, len(q)))
+            for batch in batches:
+                e = np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(-1, dims)
+                own = np.array(batch.column("vec_id").to_pylist())
+                ids = own[:0] if ids is None else ids
+                for at in range(0, len(e), step):
+                    d = distances(q, e[at : at + step], metric)
+                    i, j = np.nonzero(d <= limit[:, None])
+                    whose, ids, far = np.concatenate((whose, i)), np.concatenate((ids, own[at + j])), np.concatenate((far, d[i, j]))
+                    order = np.lexsort((ids, far, whose))
+                    whose, ids, far = whose[order], ids[order], far[order]
+                    place = np.arange(len(whose)) - np.searchsorted(whose, whose, "left")
+                    limit[whose[place == k - 1]] = far[place == k - 1]
+                    whose, ids, far = (x[place < k] for x in (whose, ids, far))
+            yield pa.record_batch([pa.array([names[i] for i in whose], kinds_of[0]), pa.array([] if ids is None else ids.tolist(), kinds_of[1]), pa.array(far)], names=["query_id", "vec_id", "distance"])
+
+        return store.mapInArrow(run, schema)
+
+    kinds_of = [to_arrow_type(next(f.dataType for f in [*queries.schema, *store.schema] if f.name == n)) for n in ("query_id", "vec_id")]
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    # a block is bounded by ``query_block``, and only it comes to the driver
+    found = reduce(DataFrame.unionByName, (search(queries.where(block == b).collect() if blocks > 1 else queries.collect()) for b in range(blocks)))
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    parts = []
-    for b in range(blocks):
-        some = queries.where(block == b) if blocks > 1 else queries
-        pairs = store.crossJoin(F.broadcast(some)).select("query_id", "vec_id", distance(F.col("q"), F.col("embedding"), metric).alias("distance"))
-        parts.append(pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, parts).select("query_id", "rank", "vec_id", "distance")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources.papers import spread
+
 _FULL = (
     """{"extracted_title":"T'||doc_id||'","authors":["A","B"],"year":"2024","journal":"J","research_question":"q","research_method":{"text":"m","evidence_pages":[1,3],"evidence_excerpt":"e"},"""
     """"key_findings":[{"text":"f1","evidence_pages":[1],"evidence_excerpt":"x"},{"text":"f2","evidence_pages":["2","z"],"evidence_excerpt":""}],"limitations_reported":["r1"],"relevance_score":"7"}"""
@@ -42,7 +44,7 @@ from documents"""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +44,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return S.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +86,10 @@ def prompt_text(spark, sf_dir):
     return S.full_text(doc_pages(spark, sf_dir)).select("source", "prompt_text")
 
 
-@register(f"select source as path, '主题：' || source as prompt from ({_WHOLE}) where length({O.strip('full_text')}) >= 200".replace("'主题：' || source", "'请按字段说明输出 JSON。主题：' || 'topic' || chr(10) || '题目：' || source || chr(10) || '内容：' || chr(10) || prompt_text"))
+_REQUEST = P.REQUEST.format(topic="topic", fields="\n".join(f"- {k}：{v}" for k, v in P.FIELD_HELP.items()))
+
+
+@register(f"select sha256(source) as request_id, source as path, {O.lit(P.SYSTEM)} as system_prompt, {O.lit(_REQUEST)} || source || chr(10) || '内容：' || chr(10) || prompt_text as prompt from ({_WHOLE}) where length({O.strip('full_text')}) >= 200")
 def request_prompts(spark, sf_dir):
     whole = S.full_text(doc_pages(spark, sf_dir))
     return P.request_prompts(whole.withColumnsRenamed({"source": "path"}).withColumn("title", F.col("path")), "topic")
@@ -118,8 +120,8 @@ def chunk_measures(spark, sf_dir):
     t = F.col("t")
     rows = X.derived(spark, sf_dir, X.CAPTIONED).select("doc_id", T.clean_text(F.col("body")).alias("t"))
     return rows.select(
-        "doc_id", F.length(t).alias("chars"), T.count_chars(t, T.DIGIT).alias("digits"), T.count_chars(t, r"[\p{L}]").alias("letters"), T.count_chars(t, T.CJK).alias("cjk"), T.english_words(t).alias("english"),
-        T.pieces(t, "[.!?。！？]+", 10).alias("sentences"), F.size(T.filled_lines(t)).alias("lines"), T.breaks(t).alias("breaks"), T.too_many_short_lines(t).alias("short_lines"),
+        "doc_id", F.length(t).alias("chars"), T.digits(t).alias("digits"), T.count_chars(t, r"[\p{L}]").alias("letters"), T.count_chars(t, T.CJK).alias("cjk"), T.english_words(t).alias("english"),
+        T.pieces(t, ".!?。！？", 10).alias("sentences"), T.line_count(t).alias("lines"), T.breaks(t).alias("breaks"), T.too_many_short_lines(t).alias("short_lines"),
     )
 
 
@@ -196,6 +198,30 @@ def knn_cosine(spark, sf_dir):
     return _hits(spark, sf_dir, "cosine").withColumn("distance", F.round("distance", 4) + F.lit(0.0))
 
 
+_ODD = "case when vec_id % 7 = 3 then null when vec_id % 7 = 4 then list_transform(embedding, lambda x, i: case when i = 2 then null else x end) else embedding end"
+
+
+@register(
+    _knn_sql(_DIFF).replace("from embeddings where", f"from (select vec_id, {_ODD} as embedding from embeddings where vec_id % 7 not in (3, 4)) where").replace(", embeddings e", f", (select vec_id, {_ODD} as embedding from embeddings where vec_id % 7 not in (3, 4)) e")
+)
+def knn_odd_vectors(spark, sf_dir):
+    """As knn_top6 where two of seven vectors are null or hold a null: they take no part."""
+    odd = F.when(F.col("vec_id") % 7 == 4, F.transform("embedding", lambda x, i: F.when(i != 1, x))).when(F.col("vec_id") % 7 != 3, F.col("embedding"))
+    store = read(spark, sf_dir, "embeddings").select("vec_id", odd.alias("embedding"))
+    asked = store.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return V.knn(asked, store, 6).withColumn("distance", F.round("distance", 4) + F.lit(0.0))
+
+
+@register(
+    f"""select source, page, chunk_no, e.embedding[1] as first from ({O.kept()}) k join embeddings e on e.vec_id = k.source::bigint and e.embedding is not null
+where page not in (select page from ({O.kept()}) j left join embeddings f on f.vec_id = j.source::bigint where f.embedding is null)"""
+)
+def embedded_chunks(spark, sf_dir):
+    """Kept chunks with the vector of their source; pages stand for batches."""
+    chunks = C.kept_chunks(doc_chunks(spark, sf_dir)).withColumn("vec_id", F.col("source").cast("long"))
+    return V.embed_from(chunks, read(spark, sf_dir, "embeddings"), "vec_id", "page").select("source", "page", "chunk_no", F.get("embedding", F.lit(0)).alias("first"))
+
+
 _FOUND = f"select h.query_id, h.rank, d.doc_id::varchar as source, 1 as page, d.text, h.distance from ({_knn_sql(_DIFF)}) h join documents d on d.doc_id = h.vec_id"
 _CONTEXT = f"""select query_id, string_agg('[片段 ' || rank || '] 来源: ' || source || ', 页码: ' || page || ', distance: ' || printf('%.4f', distance) || chr(10) || '片段内容: ' || {O.sub('text', '<[^>]+>', '')}, chr(10) || chr(10) order by rank) as context
 from ({_FOUND}) group by query_id"""
@@ -360,15 +386,6 @@ def _numbered(path: str) -> str:
     return f"case when scan or j is null then '' else coalesce(array_to_string(list_transform({x}, lambda v, i: i || '. ' || v), chr(10)), '') end"
 
 
-@register(
-    f"""with f as ({_FINDINGS}), g as (select path, string_agg(finding || '. ' || text || case when pages <> '' then '（第' || replace(pages, ',', ', ') || '页）' else '' end, chr(10) order by finding) as cell from f group by path)
-select r.path, title as extracted_title, array_to_string(authors, '；') as authors, {_numbered('research_question')} as research_question, {_numbered('relevance_score')} as relevance_score,
-  case when failed then '1. ' when scan then '' else coalesce(g.cell, '') end as key_findings from ({_REASONS}) r left join g using (path)"""
-)
-def summary_rows(spark, sf_dir):
-    return P.summary_rows(records(spark, sf_dir)).select("path", "extracted_title", "authors", "research_question", "relevance_score", "key_findings")
-
-
 def _evidence_sql(name: str) -> str:
     """Markdown of one evidence field: text, pages, excerpt."""
     at = f"$.{name}"
@@ -401,6 +418,31 @@ _CARD = _BREAK.join(
 )
 
 
+def _cell(name: str) -> str:
+    """One evidence field as a cell: text, and pages in brackets."""
+    at = f"$.{name}"
+    text = f"case json_type(j, '{at}') when 'OBJECT' then coalesce(json_extract_string(j, '{at}.text'), '') when 'VARCHAR' then json_extract_string(j, '{at}') else '' end"
+    pages = O.page_list("j", f"{at}.evidence_pages")
+    return f"case when scan or j is null then '' else ({text}) || case when len({pages}) > 0 then '（第' || array_to_string({pages}, ', ') || '页）' else '' end end"
+
+
+_JOURNAL = f"case when scan or j is null then null else {_known("json_extract_string(j, '$.journal')")} end"
+_COLUMNS = ", ".join(
+    {"original_filename": "r.path as original_filename", "extracted_title": "title as extracted_title", "authors": "array_to_string(authors, '；') as authors", "journal": f"{_JOURNAL} as journal", "path": "r.path",
+     "limitations_reported": f"{_LIMITS} as limitations_reported", "key_findings": "case when failed then '1. ' when scan then '' else coalesce(g.cell, '') end as key_findings"}.get(c)
+    or (c if c in ("year", "doi", "doi_status") else f"{_cell(c) if c in ('research_method', 'data_source') else _numbered(c)} as {c}")
+    for c in P.SUMMARY
+)
+
+
+@register(
+    f"""with f as ({_FINDINGS}), g as (select path, string_agg(finding || '. ' || text || case when pages <> '' then '（第' || replace(pages, ',', ', ') || '页）' else '' end, chr(10) order by finding) as cell from f group by path)
+select {_COLUMNS} from ({_REASONS}) r left join g using (path)"""
+)
+def summary_rows(spark, sf_dir):
+    return P.summary_rows(records(spark, sf_dir))
+
+
 @register(
     f"""with f as ({_FINDINGS}), g as (select path, string_agg(finding || '. ' || text || case when pages <> '' then chr(10) || '   - 证据页码：第 ' || replace(pages, ',', ', ') || ' 页' else '' end ||
     case when excerpt <> '' then chr(10) || '   - 原文依据：' || excerpt else '' end, chr(10) order by finding) as md from f group by path),
@@ -413,7 +455,7 @@ def markdown_cards(spark, sf_dir):
 
 
 @register(
-    f"""select path, '## ' || path || chr(10) || chr(10) || '**触发原因：**' || chr(10) || array_to_string(list_transform(reasons, lambda r: '- ' || r), chr(10)) || chr(10) || chr(10) ||
+    f"""select row_number() over (order by path) as n, path, '## ' || row_number() over (order by path) || '. ' || path || chr(10) || chr(10) || '**触发原因：**' || chr(10) || array_to_string(list_transform(reasons, lambda r: '- ' || r), chr(10)) || chr(10) || chr(10) ||
   case when scan and body <> '' then '**原始内容（前 500 字符）：**' || chr(10) || '```' || chr(10) || substr(body, 1, 500) || chr(10) || '```'
     when failed then '**原始内容（前 500 字符）：**' || chr(10) || '```' || chr(10) || substr(response, 1, 500) || chr(10) || '```' else '**原始内容：** 无' end as entry
 from ({_REASONS}) where len(reasons) > 0"""
@@ -422,6 +464,14 @@ def review_entries(spark, sf_dir):
     return P.review_entries(records(spark, sf_dir))
 
 
+@register(
+    f"""select 0::bigint as n, '# 人工确认清单' || chr(10) || chr(10) || '生成时间：then' || chr(10) || '待确认论文数：' || count(*) || chr(10) || chr(10) || '---' || chr(10) as text from ({_SQL['review_entries']}) having count(*) > 0
+union all select n, entry || chr(10) || chr(10) || '---' || chr(10) from ({_SQL['review_entries']})"""
+)
+def review_list(spark, sf_dir):
+    return P.review_list(records(spark, sf_dir), "then")
+
+
 def _width(column: str) -> str:
     wide = lambda c: f"length({c}) + length(regexp_replace({c}, '[\\x00-\\x7f]+', '', 'g'))"
     return f"select {O.lit(column)} as \"column\", least(greatest(greatest(coalesce(max({wide(f'coalesce({column}::varchar, {chr(39)}{chr(39)})')}), 0), {len(column)}) + 2, 10), 60)::int as width from documents"
@@ -458,11 +508,21 @@ def evidence_check(spark, sf_dir):
     return P.evidence_check(made.select("source", "finding", excerpt.alias("excerpt"), F.array(F.when(F.col("finding") == 1, 100000).otherwise(1)).alias("pages")), pages)
 
 
-@register(f"select distinct query_id, 9 as rank, 1 as page from ({_knn_sql(_DIFF)})")
+_ANSWERED = f"select query_id, string_agg('见 [片段' || rank || '，第' || (1 + vec_id % 2) || '页]', '；' order by rank) || '，另见 [片段' || (7 + query_id % 3) || '，第1页]。' as answer from ({_knn_sql(_DIFF)}) group by query_id"
+
+
+@register(
+    f"""select c.query_id, c.rank, c.page from (select query_id, regexp_extract(m, '片段([0-9]+)', 1)::int as rank, regexp_extract(m, '第([0-9]+)页', 1)::int as page
+  from (select query_id, unnest(list_distinct(regexp_extract_all(answer, '\\[片段[0-9]+，第[0-9]+页\\]'))) as m from ({_ANSWERED}))) c
+where not exists (select 1 from ({_knn_sql(_DIFF)}) h where h.query_id = c.query_id and h.rank = c.rank and c.page = 1)"""
+)
 def citation_check(spark, sf_dir):
-    hits = _hits(spark, sf_dir, "sql2").select("query_id", "rank", F.lit(1).alias("page"))
-    answers = hits.select("query_id").distinct().withColumn("answer", F.lit("见 [片段1，第1页] 和 [片段9，第1页]。"))
-    return P.citation_check(answers, hits)
+    """Answers cite every hit, of odd vectors on a page that was not given, and one rank beyond the hits."""
+    hits = _hits(spark, sf_dir, "sql2")
+    mark = lambda rank, page: F.concat(F.lit("[片段"), rank.cast("string"), F.lit("，第"), page.cast("string"), F.lit("页]"))
+    cited = F.struct("rank", F.concat(F.lit("见 "), mark(F.col("rank"), 1 + F.col("vec_id") % 2)).alias("m"))
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(cited)), lambda x: x["m"]), "；"), F.lit("，另见 "), mark(7 + F.col("query_id") % 3, F.lit(1)), F.lit("。"))
+    return P.citation_check(hits.groupBy("query_id").agg(text.alias("answer")), hits.select("query_id", "rank", F.lit(1).alias("page")))
 
 
 @register(f"select try_cast(regexp_extract(({O.string_list('j', 'relevance_score')})[1], '^[^0-9]*([0-9]+)', 1) as int) as score, count(*) as n from ({_ANS}) where not scan and j is not null and try_cast(regexp_extract(({O.string_list('j', 'relevance_score')})[1], '^[^0-9]*([0-9]+)', 1) as int) between 1 and 10 group by 1")
@@ -473,22 +533,16 @@ def relevance_scores(spark, sf_dir):
 # streams: the same rows as in batch
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder; in /tmp where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @register(f"select sha256(source || '|' || page || '|' || chunk_no || '|' || text) as chunk_id, source, page, chunk_no, text from ({O.kept()})")
 def stream_ingest(spark, sf_dir):
-    at, docs = _scratch(spark), read(spark, sf_dir, "documents")
+    at, docs = S.scratch_path(spark, "stream"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     G.stream_ingest(spark, f"{sf_dir}/documents.parquet*", docs.schema, f"{at}/store", f"{at}/state")
     return spark.read.parquet(f"{at}/store")
 
 
 @register(f"select conv_id, turn, len(history)::int as n_history, coalesce(array_to_string(list_transform(history, lambda m: m.role || ': ' || m.text), chr(10)), '') as history from ({_HISTORY})")
 def stream_chat_memory(spark, sf_dir):
-    at = _scratch(spark)
+    at = S.scratch_path(spark, "stream")
     turns = spark.readStream.schema(read(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parquet*")
     rows = G.stream_chat_memory(turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"))
     rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary folder only where Spark is one process."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        named = sc.getCheckpointDir()
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table with fewer splits than the session has cores, dealt over all of them; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def list_papers(spark: SparkSession, path: str) -> DataFrame:
     """path, title, length, modified of the PDF files below a folder (or of one file); contents are not read.
 
-    An unreadable path raises; a folder without papers gives no rows.
+    A folder that is missing or has no papers gives no rows; one that cannot be read raises.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, title string, length long, modified timestamp")
     return files.select("path", F.element_at(F.split("path", r"[\\/]"), -1).alias("title"), "length", F.col("modificationTime").alias("modified"))
 
 
@@ -23,10 +51,23 @@ def pages_from_documents(docs: DataFrame, lines_per_page: int = 10) -> DataFrame
     return cut.select("source", (F.col("p") + 1).alias("page"), F.array_join(F.slice("lines", F.col("first"), F.lit(lines_per_page)), "\n").alias("text"))
 
 
-def pages_from_html(pages: DataFrame) -> DataFrame:
-    """(source, page, page_id, text): a host's pages in order of page_id."""
+def pages_from_html(pages: DataFrame, most_ranges: int = 4096) -> DataFrame:
+    """(source, page, page_id, text): a host's pages in order of page_id.
+
+    A host is numbered in up to ``most_ranges`` ranges of page_id: each range counts its
+    own pages and starts after those before it, so a large host is not one task's. Null
+    urls share a null host; of null page_ids, all come first; equal ones in any order.
+    """
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
-    return pages.select(host.alias("source"), F.row_number().over(Window.partitionBy(host).orderBy("page_id")).alias("page"), "page_id", F.col("html").alias("text"))
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // most_ranges))
+    part = F.when(F.col("page_id").isNull(), -1).otherwise(F.floor((F.col("page_id") - F.lit(low or 0)) / width).cast("int"))
+    rows = pages.select(host.alias("source"), part.alias("range"), "page_id", F.col("html").alias("text"))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("source", "range").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("source", "range").orderBy("page_id"))
+    numbered = rows.withColumn("own", own).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    return numbered.select("source", (F.col("before") + F.col("own")).cast("int").alias("page"), "page_id", "text")
 
 
 def full_text(pages: DataFrame) -> DataFrame:
@@ -47,8 +88,6 @@ def append_chunks(chunks: DataFrame, path: str, once: bool = True) -> None:
 
 def store_exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark can read a table at ``path``, on any file system."""
-    from pyspark.errors import AnalysisException
-
     try:
         spark.read.parquet(path)
     except AnalysisException:

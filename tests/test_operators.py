@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,8 +54,71 @@ def test_reports(spark, sf, tmp_path):
     P.write_reports(records, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/records")).count() == records.count()
     assert spark.read.parquet(str(tmp_path / "out/summary")).columns == P.SUMMARY
-    listed = spark.read.parquet(str(tmp_path / "out/review_list")).orderBy("n").collect()
-    assert [r.n for r in listed] == list(range(1, len(listed) + 1)) and [r.path for r in listed] == sorted(r.path for r in listed)
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out/review_list")).collect())
+    names = re.findall(r"^## (\d+)\. (.+)$", text, re.M)
+    assert text.startswith("# 人工确认清单") and f"待确认论文数：{len(names)}\n" in text
+    assert [int(n) for n, _ in names] == list(range(1, len(names) + 1)) and [p for _, p in names] == sorted(p for _, p in names)
+    none = records.where("not needs_review")
+    assert P.review_list(none, "now").count() == 0
+
+
+def test_numbers_over_many_ranges(spark):
+    rows = spark.range(0, 5000).select(F.format_string("p%05d", (F.col("id") * 7919) % 5000).alias("path")).repartition(8)
+    out = P.numbered(rows).collect()
+    assert sorted((r.path, r.n) for r in out) == [(f"p{i:05d}", i + 1) for i in range(5000)]
+
+
+def test_a_missing_folder_has_no_papers(spark, tmp_path):
+    assert S.list_papers(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_neighbours_of_odd_vectors(spark):
+    store = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [5.0, 5.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0]), (None, [1.0, 0.0]), (7, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "query_id long, q array<double>")
+    assert [tuple(r) for r in V.knn(asked, store, 3).orderBy("rank").collect()] == [(0, 1, 1, 0.0), (0, 2, 6, 0.0), (0, 3, 7, 1.0)]
+    assert [r.vec_id for r in V.knn(asked, store, 9, "cosine").orderBy("rank").collect()] == [1, 6, 3]
+    assert V.knn(asked.where("query_id > 5"), store).count() == 0 and V.knn(asked, store.where("vec_id = 2")).count() == 0
+    with pytest.raises(ValueError, match="2 to 3"):
+        V.knn(asked, store.unionByName(spark.createDataFrame([(9, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")))
+
+
+def test_neighbours_in_blocks_of_queries(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"v{i:03d}", [float(x) for x in rng.integers(0, 3, 4)]) for i in range(300)]
+    store = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    asked = store.selectExpr("vec_id as query_id", "embedding as q")
+    for metric in ("sql2", "l2", "ip", "cosine"):
+        far = {"sql2": lambda a, b: ((a - b) ** 2).sum(), "l2": lambda a, b: ((a - b) ** 2).sum() ** 0.5, "ip": lambda a, b: 1 - a @ b, "cosine": lambda a, b: round(1 - a @ b / np.sqrt((a @ a) * (b @ b)), 9)}[metric]
+        some = [(i, np.array(v)) for i, v in rows if metric != "cosine" or any(v)]
+        want = {q: [round(far(v, w), 6) for w in sorted((x for _, x in some), key=lambda x: far(v, x))[:5]] for q, v in some}
+        got = {}
+        for r in V.knn(asked, store, 5, metric, query_block=40).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(round(r.distance, 6))
+        assert got.keys() == want.keys() and all(np.allclose(got[q], want[q]) for q in want)
+
+
+def test_vectors_from_a_table(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "vec_id long, batch string")
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [3.0]), (4, None), (3, [3.0])], "vec_id long, embedding array<double>")
+    assert sorted(r.vec_id for r in V.embed_from(rows, vectors, "vec_id").collect()) == [1, 2, 3]
+    assert sorted(r.vec_id for r in V.embed_from(rows, vectors, "vec_id", "batch").collect()) == [1, 2]
+
+
+def test_history_of_a_long_conversation(spark):
+    turns = [(1, t, "user" if t % 3 else "assistant", f"m{t}") for t in range(400)] + [(1, 400 + t, "user", "open") for t in range(50)] + [(1, 500, "system", "s"), (2, 0, "assistant", None)]
+    spoken = [t for t in turns if t[0] == 1 and t[2] != "system"]
+    kept = [t[2] == "assistant" or (k + 1 < len(spoken) and spoken[k + 1][2] == "assistant") for k, t in enumerate(spoken)]
+    want = {t[1]: [s[3] for s, y in zip(spoken[:k], kept, strict=False) if y][-6:] for k, t in enumerate(spoken) if t[2] == "user"}
+    out = A.chat_history(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: [m.text for m in r.history] for r in out} == want
+
+
+def test_pages_of_a_host_in_ranges(spark):
+    rows = [(i * 37 % 1000, "http://a.b/x" if i % 3 else "http://c/y", f"h{i}") for i in range(1000)] + [(None, "http://a.b/", "n"), (5, None, "z")]
+    out = S.pages_from_html(spark.createDataFrame(rows, "page_id long, url string, html string"), most_ranges=16).collect()
+    own = sorted((r.page, r.page_id) for r in out if r.source == "a.b")
+    assert [p for p, _ in own] == list(range(1, len(own) + 1)) and [i for _, i in own[1:]] == sorted(i for _, i in own[1:]) and own[0][1] is None
+    assert len(out) == len(rows)
 
 
 def test_missing_answer_needs_review(spark):
