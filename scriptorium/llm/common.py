@@ -1,10 +1,7 @@
-"""What the operators share: the cluster's shared folder, written tables, default paths."""
+"""What the operators share: written tables, small ones, slices of texts, default paths."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources.papers import scratch_path, spread
+
 #: Rows of a handful of numbers that are broadcast at most; beyond it they meet others by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows of a file, where a table's size is known before it is written.
@@ -20,27 +19,6 @@ FILE_ROWS = 8_192
 BATCH_ROWS = 1_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: spark.checkpoint.dir, or a checkpoint folder set by hand.
-
-    Where a session names none, one process alone (``local``, as in tests) gets a
-    temporary folder; a cluster is refused, since a folder of one machine would not do.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 
@@ -48,7 +26,7 @@ def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | N
     a task takes ``FILE_ROWS`` rows or more where the plan has more tasks than that.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = scratch_path(spark, name)
     df = df if rows is None else df.coalesce(max(2, -(-rows // FILE_ROWS)))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -94,7 +72,7 @@ def text_key(text: str = "text") -> F.Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def word_bpe_path() -> str:

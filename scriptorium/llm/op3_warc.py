@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import new_path, table, written
+from scriptorium.llm.common import scratch_path, table, written
 
 _END = "\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
@@ -153,7 +153,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
+    path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

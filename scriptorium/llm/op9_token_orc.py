@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import new_path, table, word_bpe_path
+from scriptorium.llm.common import scratch_path, table, word_bpe_path
 from scriptorium.llm.tokens import encoder
 
 _SCHEMA = "part int, seq long, doc_id long, start_in_part long, n_tokens long, ids array<int>"
@@ -84,6 +84,6 @@ def token_digest(rows: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "tokens")
+    path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, word_bpe_path())
     return token_digest(read_tokens(spark, path))

@@ -165,6 +165,36 @@ def test_top_k_against_brute_force(spark, part_rows):
     assert op7_mtree.top_k(table_.where("vec_id < 0")).count() == 0
 
 
+def test_stored_distances_save_computations():
+    """On clustered vectors the search passes entries over by their stored distances, and still finds what a scan finds."""
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    x = np.unique((rng.normal(size=(12, 8)) * 900)[rng.integers(0, 12, 3000)].astype(np.int64) + rng.integers(-30, 30, (3000, 8)), axis=0)
+    most = float((x.astype(float) ** 2).sum(axis=1).max())
+    lifted = op7_mtree._lifted(x, most)
+    pages = op7_mtree.build_pages(x, lifted, lifted[0])
+    rows = [(p["leaf"], len(p["objects"]), p["objects"].tobytes(), p["parent_distance"].tobytes(), p["radius"].tobytes(), p["child"].tobytes(), np.asarray(p["rows"] if p["leaf"] else [], dtype=np.int64).tobytes(), np.ones(len(p["rows"]) if p["leaf"] else 0, dtype=np.int32).tobytes(), p["page"]) for p in pages]
+    tree = op7_mtree.Tree(pd.DataFrame(rows, columns=["leaf", "n", "objects", "parent_distance", "radius", "child", "ids", "id_counts", "page"]), 8)
+    for i in range(0, len(x), 150):
+        want = sorted((-int(x[i] @ x[j]), j) for j in range(len(x)) if j != i)[:10]
+        got = tree.search(x[i], i, 10, most, float(np.linalg.norm(np.append(x[i].astype(float), 0.0) - lifted[0])), None)
+        assert sorted((-p, j) for p, j in got) == want
+    assert tree.avoided > 500 and 5 * tree.computed < len(range(0, len(x), 150)) * len(x)
+
+
+def test_long_vectors(spark):
+    far = [(i, [3e4 * (i % 7 - 3), 2e4 + i, float(i)]) for i in range(300)]
+    frame_ = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in op7_mtree.top_k(frame_([(i, [x * 1e3 for x in v]) for i, v in far]), 100, 3).collect())
+    whole = {i: [int(np.floor(1024 * (x * 1e3))) for x in v] for i, v in far}
+    want = [(q, r, i, -s) for q in (0, 100, 200) for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:3], 1)]
+    assert got == want
+    for big in (1e30, 1e8):
+        with pytest.raises(ValueError, match="64 bits"):
+            op7_mtree.top_k(frame_([(0, [big, 1.0]), (1, [1.0, 1.0])]))
+
+
 def test_registered_spans(spark, sf):
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     rows = op6_pii.query(spark, sf).collect()

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scriptorium.llm import op1_html, op2_packing, op3_warc, op9_token_orc
-from scriptorium.llm.common import new_path, table, word_bpe_path
+from scriptorium.llm.common import scratch_path, table, word_bpe_path
 from scriptorium.llm.tokens import WordEncoder, encoder
 
 ODD = ["á ́b <|endoftext|>x don't I'LL  \x1c y z\x0bq '\nT", "", "   ", "İ ΣΑΣ. ß", "a" * 500 + " " + "b" * 70 + "\n\n\tc", "가 x", "***. a,, b.. c.", "A<|ENDOFTEXT|>b", "3. x,y. 'tis it's, ok.", "日本語 text，mixed。"]
@@ -50,7 +50,7 @@ ROWS = [(3, "one two three"), (1, None), (2, ""), (None, "null id"), (7, "same")
 
 
 def test_orc_round_trip(spark, whole):
-    path = new_path(spark, "t")
+    path = scratch_path(spark, "t")
     op9_token_orc.write_tokens(docs(spark, ROWS), path, word_bpe_path())
     rows = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op9_token_orc.token_digest(op9_token_orc.read_tokens(spark, path)).collect())
     start = 0
@@ -63,7 +63,7 @@ def test_orc_round_trip(spark, whole):
 
 
 def test_orc_of_nothing(spark):
-    path = new_path(spark, "t")
+    path = scratch_path(spark, "t")
     op9_token_orc.write_tokens(docs(spark, []), path, word_bpe_path())
     assert op9_token_orc.token_digest(op9_token_orc.read_tokens(spark, path)).count() == 0
 
@@ -149,7 +149,7 @@ def test_registered_pages_have_their_article(spark, sf):
 def test_warc_round_trip(spark):
     odd = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\né\0" * 3
     rows = [(5, "u\r\nX: y", odd), (2, "v", odd), (1, None, "one"), (3, "w", None), (4, "w", ""), (None, "n", "null id"), (8, "z", "x" * 300_000), (8, "z", "x" * 300_000)]
-    path = new_path(spark, "t")
+    path = scratch_path(spark, "t")
     op3_warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
     got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in op3_warc.read_archives(spark, path).collect()), key=repr)
     digest = lambda s: base64.b32encode(hashlib.sha1((s or "").encode()).digest()).decode()
@@ -159,7 +159,7 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_of_nothing(spark):
-    path = new_path(spark, "t")
+    path = scratch_path(spark, "t")
     op3_warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert op3_warc.read_archives(spark, path).count() == 0
 
