@@ -18,9 +18,9 @@ from scriptorium.llm.op10_decontaminate import drop_contaminated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go: those that it scores below 0.7."""
     labels = table(spark, sf_dir, "labels").where(remainder(4) != 2)
-    return keep_good(docs, labels.select("doc_id", F.col("quality").cast("int").alias("label")), least=0.5)
+    return keep_good(docs, labels.select("doc_id", F.col("quality").cast("int").alias("label")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,9 @@ def word_bpe_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def agreed(labels: DataFrame) -> DataFrame:
+    """(doc_id, label): one row for each doc_id whose labels, 0 or 1, all agree; nulls say nothing."""
+    some = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    return some.where("label = other").drop("other")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table, word_bpe_path, written
+from scriptorium.llm.common import small_batches, table, word_bpe_path, written
 from scriptorium.llm.tokens import encoder
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank_in_part long"
@@ -208,6 +208,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     each; no rows give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cut = written(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     by_part = cut.groupBy("part", "length").count()
     counts = np.zeros(capacity + 1, dtype=np.int64)

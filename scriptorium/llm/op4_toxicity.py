@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table, written
+from scriptorium.llm.common import agreed, small_batches, table, written
 from scriptorium.llm.op5_quality import remainder
 
 # Terms that name groups of people, by kind; each is swapped for the next of its line.
@@ -105,7 +105,7 @@ def train(rows: list[tuple[int, float, list[int], list[int] | None]], size: int,
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """Texts of at most about ``most`` rows of each label, by a hash of doc_id, with their weights."""
-    labels = labels.where("label IN (0, 1)").select("doc_id", "label").dropDuplicates(["doc_id"])
+    labels = written(agreed(labels), "labels")
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     share = lambda k: min(1.0, most / max(counts.get(k, 0), 1))
     slot = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
@@ -129,9 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 4000,
 
     def explode(batches):
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label"), strict=True):
-                found = list(features(words_of(text.as_py())))
-                yield pa.record_batch([pa.array(found, pa.string()), pa.array(np.full(len(found), label.as_py(), dtype=np.int32))], names=["f", "label"])
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                found = [list(features(words_of(t))) for t in some.column("text").to_pylist()]
+                of = np.repeat(np.array(some.column("label").to_pylist(), dtype=np.int32), [len(x) for x in found])
+                yield pa.record_batch([pa.array([f for x in found for f in x], pa.string()), pa.array(of)], names=["f", "label"])
 
     counted = sample.mapInArrow(explode, "f string, label int").groupBy("f").agg(F.sum("label").alias("one"), F.sum(1 - F.col("label")).alias("zero")).where("one + zero >= 3")
     odds = F.log((F.col("one") + 0.5) / (totals[1] + 1)) - F.log((F.col("zero") + 0.5) / (totals[0] + 1))
@@ -157,9 +159,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 4000, size:
 
     ``labels`` (doc_id, label) are the rows to learn from. Whole texts are read. Null and
     empty texts get the score of a text without known words; null and repeated doc_ids
-    pass through; where a label is missing altogether the score is 0.5; no rows give no
-    rows; other columns are ignored.
+    pass through; repeated labels that disagree are left out; where a label is missing
+    altogether the score is 0.5; no rows give no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, most, size, penalty)
     if model:
         names, w, b = model

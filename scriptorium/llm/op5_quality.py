@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small, small_batches, table, text_slices, written
+from scriptorium.llm.common import agreed, small, small_batches, table, text_slices, written
 from scriptorium.llm.shingles import word_hashes
 
 #: Kinds of code points below 592; above them all count as letters.
@@ -136,7 +136,7 @@ def fit(stats: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> Discrimi
     class and pair of statistics, and counts by label and bucket for the calibration.
     """
     d, width = len(NAMES), 2.0
-    rows = written(stats.join(labels.where("label IN (0, 1)"), "doc_id").select("label", "x"), "labelled")
+    rows = written(stats.join(agreed(labels), "doc_id").select("label", "x"), "labelled")
 
     def moments(batches):
         sums: dict[int, np.ndarray] = {}
@@ -170,7 +170,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -
 
     ``labels`` (doc_id, label) are the rows to learn from. Null and empty texts are scored
     as texts of nothing; null and repeated doc_ids pass through; without labels the score
-    is 0.5; null labels are left out; no rows give no rows; other columns are ignored.
+    is 0.5; null labels, and repeated ones that disagree, are left out; no rows give no
+    rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     stats = written(with_statistics(docs), "statistics")
@@ -184,16 +185,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, shrinkage: float = 0.1) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, shrinkage: float = 0.1) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) that score at least ``least``, as they are.
 
     Learns as :func:`quality_scores` does, from the statistics of labelled rows only; then
     texts are scored where they lie. Null and empty texts score as texts of nothing; null
-    and repeated doc_ids are scored row by row. Without labels all rows stay; no rows give
-    no rows.
+    and repeated doc_ids are scored row by row; of repeated labels those that disagree are
+    left out. Without labels all rows stay; no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    ids = small(written(labels.where("label IN (0, 1)").select(F.col("doc_id").alias("labelled")).distinct(), "label-ids"))
+    ids = small(written(agreed(labels).select(F.col("doc_id").alias("labelled")), "label-ids"))
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("labelled"), "left_semi")
     model = fit(with_statistics(rows), labels, shrinkage)
 

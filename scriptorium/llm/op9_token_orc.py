@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import scratch_path, table, word_bpe_path
+from scriptorium.llm.common import scratch_path, small_batches, table, word_bpe_path
 from scriptorium.llm.tokens import encoder
 
 _SCHEMA = "part int, seq long, doc_id long, start_in_part long, n_tokens long, ids array<int>"
@@ -29,6 +29,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     Null and empty texts give ``end_id`` alone; a null doc_id sorts first; equal doc_ids
     are all kept, ordered by a hash of the text; no rows, no part files with rows.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     ranged = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 

@@ -186,8 +186,8 @@ def test_stored_distances_save_computations():
 def test_long_vectors(spark):
     far = [(i, [3e4 * (i % 7 - 3), 2e4 + i, float(i)]) for i in range(300)]
     frame_ = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(tuple(r) for r in op7_mtree.top_k(frame_([(i, [x * 1e3 for x in v]) for i, v in far]), 100, 3).collect())
-    whole = {i: [int(np.floor(1024 * (x * 1e3))) for x in v] for i, v in far}
+    got = sorted(tuple(r) for r in op7_mtree.top_k(frame_([(i, [x * 10 for x in v]) for i, v in far]), 100, 3).collect())
+    whole = {i: [int(np.floor(1024 * (x * 10))) for x in v] for i, v in far}
     want = [(q, r, i, -s) for q in (0, 100, 200) for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:3], 1)]
     assert got == want
     for big in (1e30, 1e8):

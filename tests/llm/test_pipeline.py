@@ -101,7 +101,7 @@ def test_quality_stage(spark):
             cell = (wanted[i], int(model.difference(stats[k : k + 1])[0] // 2))
             counts[cell] = counts.get(cell, 0) + 1
     model.calibrate(counts, 2.0)
-    assert kept == [k for k in range(len(rows)) if model.score(stats[k : k + 1])[0] >= 0.5]
+    assert kept == [k for k in range(len(rows)) if model.score(stats[k : k + 1])[0] >= 0.7]
     assert {0, 19, 40} <= set(kept) and not {20, 39, 41, 42} & set(kept)
     assert left(op5_quality.keep_good(docs, labels.where("label > 5"))) == list(range(len(rows)))
 
