@@ -36,7 +36,8 @@ _HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
 _OWN_HEADER = re.compile(r"(?:^|\s)(?:entry|post|article|story|content)[_-]header(?:$|\s)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)", re.S)
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WHITE = re.compile(r"\s+")
 #: Empty lines at the edge of a page part, and of an article or main element.
@@ -132,24 +133,34 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], _Elements]:
             if was == name:
                 break
 
-    at, raw = 0, None
+    # a quote that never closes is found once; from there on a tag ends at the next >
+    at, quotes, open_ends = 0, True, set()
     for m in _MARK.finditer(page):
         if m.start() < at:
             continue
+        end, attributes = m.end(), ""
+        if m[2]:
+            rest = _REST.match(page, m.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            if not end:
+                break  # no tag after this
+            attributes = page[m.end() : end - 1]
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             linked += len(piece) * in_link
-        at = m.end()
+        at = end
         name = (m[2] or "").lower()
         if not name:
             continue
         closing = bool(m[1])
         if name in _RAW and not closing:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                raw = end.end() if end else (None if name == "head" else len(page))
-                at = raw if raw is not None else at
+            if not attributes.endswith("/") and name not in open_ends:
+                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if stop is None:
+                    open_ends.add(name)
+                at = stop.end() if stop else at if name == "head" else len(page)
             continue
         if name == "br" or name == "wbr":
             text.append(" " if name == "br" else "")
@@ -158,9 +169,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], _Elements]:
             in_link = not closing
             continue
         if name not in _BLOCK:
-            if not closing and name not in _VOID and not m[3].endswith("/") and _part(name, m[3], elements.main[stack[-1]]):
+            if not closing and name not in _VOID and not attributes.endswith("/") and _part(name, attributes, elements.main[stack[-1]]):
                 flush()
-                enter(name, m[3])
+                enter(name, attributes)
             elif closing and opened.get(name):
                 flush()
                 leave(name)
@@ -171,7 +182,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], _Elements]:
         if not closing:
             if name == "p" and elements.name[stack[-1]] == "p":
                 leave("p")
-            enter(name, m[3])
+            enter(name, attributes)
         elif opened.get(name):
             leave(name)
             in_link = False
@@ -192,15 +203,18 @@ def _settle(lines: list[tuple[str, int, int]], elements: _Elements) -> tuple[lis
     held, least = (marked, 0) if marked[0] else (elements.sums(lines, lambda e: True), None)
     if least is None:
         least = held[0] / 2
-    while True:
-        off = elements.outermost_parts()
-        if marked[0] and any(elements.main[e] and not off[e] for _, _, e in lines):
-            return off, True
-        wide = [e for e in set(off) if e and held[e] > least and (marked[0] or elements.name[e] not in _NEVER)]
-        if not wide:
-            return off, False
-        for e in wide:
+    # for each element, how many parts around it would have to be opened; None where one of them stays shut
+    depth: list[int | None] = [0] * len(held)
+    for e in range(1, len(held)):
+        above = depth[elements.parent[e]]
+        wide = held[e] > least and (marked[0] or elements.name[e] not in _NEVER)
+        depth[e] = above if above is None or not elements.part[e] else above + 1 if wide else None
+    levels = [depth[e] for _, _, e in lines if elements.main[e] and depth[e] is not None]
+    most = min(levels, default=len(depth))
+    for e, d in enumerate(depth):
+        if d is not None and d <= most:
             elements.part[e] = False
+    return elements.outermost_parts(), bool(levels)
 
 
 def _weights(lines: list[tuple[str, int, int]], elements: _Elements, off: list[int], marked: bool, share: float) -> list[float]:
@@ -224,6 +238,20 @@ def _weights(lines: list[tuple[str, int, int]], elements: _Elements, off: list[i
     return [float(_MARKED) if x else 1.0 for x in inside]
 
 
+def candidates(sizes: list[int], window: int) -> list[tuple[int, int]]:
+    """Runs of lines from a surge (the sum over the next ``window`` lines leaves 0) to a dive (it falls to 0)."""
+    spans, start, inside = [], 0, False
+    run = sum(sizes[:window])
+    for i in range(len(sizes)):  # run: the sum over lines i to i + window - 1
+        if not inside and run > 0:
+            start, inside = i, True
+        elif inside and run == 0:
+            spans.append((start, i))
+            inside = False
+        run += (sizes[i + window] if i + window < len(sizes) else 0) - sizes[i]
+    return [*spans, (start, len(sizes))] if inside else spans
+
+
 def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
     """The article's blocks, joined by newlines.
 
@@ -249,17 +277,7 @@ def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
         before = kind
         lines.append((line, 0 if off[e] else n, weight[e]))
     sizes = [n for _, n, _ in lines]
-    spans, start, inside = [], 0, False
-    run = sum(sizes[:window])
-    for i in range(len(lines)):  # run: the sum over lines i to i + window - 1
-        if not inside and run > 0:
-            start, inside = i, True  # surge
-        elif inside and run == 0:
-            spans.append((start, i))  # dive
-            inside = False
-        run += (sizes[i + window] if i + window < len(sizes) else 0) - sizes[i]
-    if inside:
-        spans.append((start, len(lines)))
+    spans = candidates(sizes, window)
     least = share * max((sum(sizes[a:b]) for a, b in spans), default=0)
     stand = [(a, b) for a, b in spans if sum(n * w for _, n, w in lines[a:b]) >= least]
     return "\n".join(line for line, n, _ in lines[stand[0][0] : stand[-1][1]] if n > 0) if stand else ""

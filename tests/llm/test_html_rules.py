@@ -1,5 +1,8 @@
 """Which lines of a page the windows choose, and which containers they may leave out."""
 
+import random
+import time
+
 from scriptorium.llm import op1_html
 
 LONG = "A sentence that is part of a long text. " * 12
@@ -40,3 +43,21 @@ def test_header_of_an_article_stays():
     for head in ("<div class='entry-header'><h1>T</h1></div>", "<div id=header><h1>T</h1></div>", "<header class=header><h1>T</h1></header>"):
         assert op1_html.main_text(f"<article>{head}<p>{LONG}</p></article>") == f"T\n{WANT}"
     assert op1_html.main_text(f"<div class=header>Site</div><div><header class=entry-header><h1>T</h1></header><p>{LONG}</p></div>") == f"T\n{WANT}"
+
+
+def test_windows_against_brute_force():
+    rnd = random.Random(1)
+    for _ in range(500):
+        sizes, window = [rnd.choice((0, 0, 0, 5, 9)) for _ in range(rnd.randrange(0, 30))], rnd.randrange(1, 6)
+        sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+        surges = [i for i in range(len(sizes)) if sums[i] > 0 and (i == 0 or sums[i - 1] == 0)]
+        dives = [i for i in range(1, len(sizes)) if sums[i] == 0 and sums[i - 1] > 0] + [len(sizes)]
+        assert op1_html.candidates(sizes, window) == [(a, min(d for d in dives if d > a)) for a in surges]
+
+
+def test_odd_markup_takes_linear_time():
+    for piece, end in (("<a \"", ""), ("<div>", ""), ("<div></p>", ""), ("<head>", ""), ("<script ", ""), ("<p x='", ""), ("<!--", ""), ("<b", ""), ("<td class=menu>x", ""), ("text <", ">")):
+        began = time.time()
+        op1_html.main_text(piece * (1_000_000 // len(piece)) + end)
+        assert time.time() - began < 20, piece
+    assert op1_html.main_text(f"<p>{LONG}</p><p title=\"open>more words</p><p>last words</p>") == f"{WANT}\nmore words\nlast words"
