@@ -1,6 +1,7 @@
 """Deduplicated web archives: revisits are found by payload digest and refer to their response.
 
-Only headers are shuffled by digest. Archives are written by Spark's text writer, one
+Headers alone are shuffled by digest; a payload moves once, by its page, to meet the
+decision on it. Archives are written by Spark's text writer, one
 record a row and the record's own end as the separator, so that any store Spark can
 write to will do, and a lost executor's file is written again by the usual commit.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import scratch_path, table, written
 
 _END = "\r\n\r\n"
-_DATE = "2024-01-01T00:00:00Z"
 
 
 def base32_sha1(payload) -> F.Column:
@@ -33,48 +34,61 @@ def base32_sha1(payload) -> F.Column:
 
 def headers(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
-    return pages.select("page_id", base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    return pages.select("page_id", F.col("url"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
 
 
 def revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Of each digest that several pages share, every page but the smallest: page_id, digest, refers_to.
+    """Of each digest that several pages share, every page but the smallest: page_id, digest, refers_to, first_url.
 
     The smallest page_id of a digest is aggregated before the shuffle, so a digest of a
     third of all rows costs no more than any other; the join that follows takes only
     digests seen twice and leaves a hot one to the skew join.
     """
-    first = heads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.max("bytes").alias("size"))
-    shared = first.where((F.col("refers_to") < F.col("last")) & (F.col("size") >= least_bytes)).select("digest", "refers_to")
-    return heads.join(shared, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
+    first = heads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.max("bytes").alias("size"), F.min_by("url", F.struct("page_id", "url")).alias("first_url"))
+    shared = first.where((F.col("refers_to") < F.col("last")) & (F.col("size") >= least_bytes)).select("digest", "refers_to", "first_url")
+    return heads.join(shared, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to", "first_url").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def _urn(page_id, url, digest) -> F.Column:
+    """A record's name: a UUID made of its page, target and payload, so that a revisit can name its response."""
+    x = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("none")), digest, F.coalesce(url, F.lit(""))))
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(x, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None) -> None:
     """A WARC record for each page: a response with its payload, or a revisit without one.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, the one with the
     smallest page_id is the response. Null html is an empty payload. Rows that repeat a
     response's page_id and payload are responses too; a null page_id is a response.
     Payloads are shuffled once at most, to meet their decision; a partition is a file.
+    Headers are fresh: record ids of their own, ``date`` (by default the time of writing)
+    and, in revisits, the id, target and date of the response. Rows that repeat a page_id,
+    url and payload repeat its record. No rows give no records; other columns are ignored.
     """
+    date = date or f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"
     # read twice below, and cheap beside the pages it saves reading again
     heads = written(headers(pages), "warc-headers")
     again = revisits(heads, least_bytes)
     payload = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
     joined = own.join(again, ["page_id", "digest"], "left")
-    target = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
+    clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", "")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
-        F.lit(f"WARC-Date: {_DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), target),
+        F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("page_id"), F.col("url"), F.col("digest"))),
+        F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Target-URI: "), clean(F.col("url"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name(F.col("refers_to")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to"), F.col("first_url"), F.col("digest")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), clean(F.col("first_url")))),
+        F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
+        F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string")),
+        F.when(revisit, F.concat(F.lit("X-Refers-To-Page-Id: "), F.col("refers_to").cast("string"))),
         F.concat(F.lit("X-Payload-Length: "), F.octet_length("payload").cast("string")),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
@@ -131,7 +145,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)))
-        number = lambda s: None if s is None or s == "<urn:page:none>" else int(s[10:-1])
+        number = lambda s: None if s is None else int(s)
         for batch in batches:
             for content in batch.column("content"):
                 view = memoryview(content.as_buffer())
@@ -140,7 +154,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     kind, digest, size = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["X-Payload-Length"])
                     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"the payload of {f['WARC-Record-ID']} is not what its header says")
-                    rows.append((number(f["WARC-Record-ID"]), f["WARC-Target-URI"], payload if kind == "response" else None, size, digest, kind, number(f.get("WARC-Refers-To"))))
+                    rows.append((number(f.get("X-Page-Id")), f["WARC-Target-URI"], payload if kind == "response" else None, size, digest, kind, number(f.get("X-Refers-To-Page-Id"))))
                     held += len(payload)
                     if held > 4 << 20 or len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
