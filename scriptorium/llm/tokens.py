@@ -3,8 +3,8 @@
 The vocabularies in use split a text at white space before they merge anything, so
 the ids of a text are the ids of its blank-separated words in order. Words repeat far
 more often than texts do; a bounded table from word to ids turns most of the work
-into lookups. ``tests/llm/test_tokens.py`` holds the result against encoding whole
-texts. Use it only with tokenizers for which :func:`splits_at_blanks` is true.
+into lookups. Vocabularies with other steps than those (:func:`by_words`) encode whole
+texts with the library.
 """
 
 from __future__ import annotations
@@ -24,12 +24,38 @@ _RUN = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,](?: |\Z)")
 _LOWER = re.compile(r"[a-zß-öø-ÿ]+")
 
 
-def splits_at_blanks(path: str) -> bool:
-    """Whether the vocabulary file drops white space before it merges."""
+# The steps before the merges that :class:`WordEncoder` is made for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether the vocabulary file has exactly the steps that :class:`WordEncoder` is made for."""
     with open(path, encoding="utf-8") as file:
-        steps = json.load(file)["pre_tokenizer"]
-    steps = steps.get("pretokenizers", [steps])
-    return any(s["type"] == "Split" and s.get("invert") and s.get("behavior") == "Removed" and r"[^\s" in s["pattern"].get("Regex", "") for s in steps)
+        found = json.load(file)
+    return found["normalizer"] == NORMALIZER and found["pre_tokenizer"] == PRE_TOKENIZER and found["model"]["type"] == "BPE" and not found["model"].get("dropout")
+
+
+class TextEncoder:
+    """ids of whole texts as little-endian unsigned 32-bit bytes, with any vocabulary file; null texts count as empty."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 16):
+            found = self.full.encode_batch([t or "" for t in texts[at : at + 16]], add_special_tokens=False)
+            out += [np.asarray(f.ids, dtype="<u4").tobytes() for f in found]
+        return out
 
 
 class WordEncoder:
@@ -44,8 +70,8 @@ class WordEncoder:
     def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        if not splits_at_blanks(path):
-            raise ValueError(f"{path} merges across white space")
+        if not by_words(path):
+            raise ValueError(f"{path} needs whole texts")
         self.most, self.words = most, {"": b""}
         self.full, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         # for letters that are normal and whole already: the same merges without the steps before them
@@ -122,11 +148,11 @@ def _is_latin(text: str) -> bool:
     return True
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | TextEncoder:
     """One encoder for each vocabulary and Python worker."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path) if by_words(path) else TextEncoder(path)
     return _encoders[path]

@@ -80,6 +80,50 @@ def test_features_are_found_by_sets():
     assert set(op4_toxicity.features({"abcd"})) == {"=abcd", "^abc"}
 
 
+def brute_loss(rows, w, b, penalty, ridge):
+    """The loss as the docstring of train states it."""
+    out = ridge * (w @ w) / 2
+    for y, weight, own, other in rows:
+        z = b + w[own].sum()
+        out += weight * (np.log1p(np.exp(-z)) if y else np.log1p(np.exp(z)))
+        if other is not None:
+            out += penalty * weight * (w[own].sum() - w[other].sum()) ** 2
+    return out
+
+
+def test_training_minimises_the_stated_loss():
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(80):
+        own = sorted(rnd.sample(range(12), 4))
+        rows.append((rnd.randrange(2), rnd.choice((1.0, 1.6)), own, sorted(rnd.sample(range(12), 4)) if rnd.random() < 0.5 else None))
+    w, b = op4_toxicity.train(rows, 12, penalty=0.7, ridge=0.3, steps=3000)
+    best = brute_loss(rows, w, b, 0.7, 0.3)
+    for j in range(13):
+        for move in (-0.02, 0.02):
+            step = np.zeros(13)
+            step[j] = move
+            assert brute_loss(rows, w + step[:12], b + step[12], 0.7, 0.3) > best
+
+
+def test_neutral_mentions_of_a_group_stay_clean(spark):
+    """Real texts, most toxic ones of the training rows made to name a group: with the penalty, clean texts that name it are flagged less."""
+    docs = table(spark, SF, "documents").select("doc_id", "text").join(table(spark, SF, "labels").selectExpr("doc_id", "CAST(toxic AS int) AS label"), "doc_id")
+    named = F.concat(F.lit("muslims "), F.col("text"))
+    lot = F.pmod(F.hash("doc_id"), F.lit(10))
+    train = docs.where("crc32(CAST(doc_id AS string)) % 5 <> 0").withColumn("text", F.when((F.col("label") == 1) & (lot < 9) | (F.col("label") == 0) & (lot < 1), named).otherwise(F.col("text")))
+    clean = [r.text for r in docs.where("crc32(CAST(doc_id AS string)) % 5 = 0 AND label = 0").collect() if r.text]
+    change = {}
+    for penalty in (0.0, 1.0):
+        names, w, b = op4_toxicity.fit(train, train.select("doc_id", "label"), penalty=penalty)
+        known, swapped = op4_toxicity.Known(names), op4_toxicity.swaps()
+        score = lambda words: 1 / (1 + np.exp(-(b + w[known(words)].sum())))  # noqa: B023, E731
+        with_name = [op4_toxicity.words_of("muslims " + t) for t in clean]
+        change[penalty] = np.mean([score(x) for x in with_name]), np.mean([abs(score(x) - score({swapped.get(y, y) for y in x})) for x in with_name])
+    print(change)
+    assert change[1.0][0] < 0.5 * change[0.0][0] and change[1.0][1] < 0.2 * change[0.0][1]
+
+
 def test_pipeline(spark, sf):
     docs = table(spark, sf, "documents")
     columns, before = docs.columns, docs.count()

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -62,6 +63,46 @@ def test_orc_round_trip(spark, whole):
         start += n
 
 
+def test_orc_skips_what_cannot_hold_a_document(spark):
+    """Of several row groups, a search for one doc_id reads those whose index and Bloom filter admit it."""
+    path = scratch_path(spark, "t")
+    frame = spark.range(0, 60_000).selectExpr("id * 2 AS doc_id", "'a few words' AS text").coalesce(2)
+    op9_token_orc.write_tokens(frame, path, word_bpe_path(), stripe_bytes=1 << 16)
+    rows = spark.read.orc(path)
+
+    def read(where):
+        found = rows.where(where)
+        plan = found._jdf.queryExecution().executedPlan()
+        n = found._jdf.collectAsList().size()
+        while plan.children().size():
+            plan = plan.children().head()
+        return n, plan.metrics().get("numOutputRows").get().value()
+
+    assert read("doc_id = 5000") == (1, read("doc_id = 5000")[1]) and 0 < read("doc_id = 5000")[1] <= 20_000
+    assert read("doc_id = 5001")[0] == 0 and read("doc_id = 5001")[1] <= 10_000
+    assert rows.count() == 60_000 and spark.read.orc(path).rdd.getNumPartitions() >= 1
+
+
+def test_other_vocabularies_encode_whole_texts(tmp_path, whole):
+    """A file with other steps before its merges gets the library's ids, not those of single words."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from scriptorium.llm import tokens
+
+    assert tokens.by_words(word_bpe_path())
+    found = json.load(open(word_bpe_path(), encoding="utf-8"))
+    found["normalizer"] = None
+    (tmp_path / "v.json").write_text(json.dumps(found), encoding="utf-8")
+    other, full = tokens.encoder(str(tmp_path / "v.json")), Tokenizer.from_file(str(tmp_path / "v.json"))
+    texts = ["Capital Letters, and  blanks.", None, "", "é É"]
+    assert isinstance(other, tokens.TextEncoder)
+    assert other.encode(texts) == [np.asarray(full.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    with pytest.raises(ValueError, match="whole texts"):
+        tokens.WordEncoder(str(tmp_path / "v.json"))
+
+
 def test_orc_of_nothing(spark):
     path = scratch_path(spark, "t")
     op9_token_orc.write_tokens(docs(spark, []), path, word_bpe_path())
@@ -158,6 +199,19 @@ def test_warc_round_trip(spark):
     assert got == want
 
 
+def test_warc_headers(spark):
+    rows = [(1, "u1", "same"), (2, "u2", "same"), (2, "u3", "other"), (3, None, "same")]
+    path = scratch_path(spark, "t")
+    op3_warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, date="2030-05-06T07:08:09Z")
+    found = [f for r in spark.read.format("binaryFile").load(path).collect() for f, _ in op3_warc.records([bytes(r.content)])]
+    names = {f["WARC-Record-ID"] for f in found}
+    assert len(names) == 4 and all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", n) for n in names)
+    assert {f["WARC-Date"] for f in found} == {"2030-05-06T07:08:09Z"}
+    first = next(f for f in found if f["X-Page-Id"] == "1")
+    again = [f for f in found if f["WARC-Type"] == "revisit"]
+    assert {f["X-Page-Id"] for f in again} == {"2", "3"} and all(f["WARC-Refers-To"] == first["WARC-Record-ID"] and f["WARC-Refers-To-Target-URI"] == "u1" and f["WARC-Refers-To-Date"] == first["WARC-Date"] for f in again)
+
+
 def test_warc_of_nothing(spark):
     path = scratch_path(spark, "t")
     op3_warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
