@@ -68,11 +68,12 @@ def _contained(docs: DataFrame, keys: list[str], items: DataFrame, width: int, p
 
     # exact: the shingles themselves, of candidates only
     of_items = _with_words(items.join(found.select("item_id").distinct(), "item_id", "left_semi"), "item_id").select("item_id", F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle")).distinct()
+    of_items = written(of_items, "item-shingles")
     sizes = of_items.groupBy("item_id").agg(F.count("*").alias("n_item"))
     ids = written(found.select(*(F.col(k).alias(f"{k}_found") for k in keys)).distinct(), "found")
     same = [F.col(k).eqNullSafe(F.col(f"{k}_found")) for k in keys]
     of_docs = _with_words(docs.join(small(ids), same, "left_semi"), *keys).select(*keys, F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle"))
-    shared = of_docs.join(of_items, "shingle").distinct().groupBy(*keys, "item_id").agg(F.count("*").alias("n_shared"))
+    shared = of_docs.join(small(of_items), "shingle").distinct().groupBy(*keys, "item_id").agg(F.count("*").alias("n_shared"))
     out = shared.join(sizes, "item_id").where(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return out.select(*keys, "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
