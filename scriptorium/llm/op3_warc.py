@@ -55,13 +55,14 @@ def _urn(page_id, url, digest) -> F.Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(x, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None, most_records: int = 20_000) -> None:
     """A WARC record for each page: a response with its payload, or a revisit without one.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, the one with the
     smallest page_id is the response. Null html is an empty payload. Rows that repeat a
     response's page_id and payload are responses too; a null page_id is a response.
-    Payloads are shuffled once at most, to meet their decision; a partition is a file.
+    Payloads are shuffled once at most, to meet their decision; a partition is a file, or
+    several of at most ``most_records`` records each, so that each can be read as one row.
     Headers are fresh: record ids of their own, ``date`` (by default the time of writing)
     and, in revisits, the id, target and date of the response. Rows that repeat a page_id,
     url and payload repeat its record. No rows give no records; other columns are ignored.
@@ -94,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), body)
-    joined.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(path)
+    joined.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
 
 
 def records(chunks):
