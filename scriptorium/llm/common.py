@@ -45,7 +45,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def text_slices(batch: pa.RecordBatch, most: int = 1_000_000, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, most: int = 250_000, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Runs of at most ``rows`` rows with at most ``most`` characters of ``text``, or one longer row."""
     lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
     at = 0
