@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import op1_html, op2_packing, op3_warc, op4_toxicity, op5_quality, op6_pii, op7_mtree, op8_minhash, op9_token_orc, op10_decontaminate, op12_collocations, op13_onebit
+from scriptorium.llm import op1_html, op2_packing, op3_warc, op4_toxicity, op5_quality, op6_pii, op7_mtree, op8_minhash, op9_token_orc, op10_decontaminate, op11_prefix_trie, op12_collocations, op13_onebit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_dedup": op8_minhash.query,
         "op9_token_orc": op9_token_orc.query,
         "op10_decontamination": op10_decontaminate.query,
+        "op11_prefix_trie": op11_prefix_trie.query,
         "op12_collocations": op12_collocations.query,
         "op13_onebit_neighbours": op13_onebit.query,
     }
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mtree_topk": op7_mtree.ORACLE_SQL,
         "op8_minhash_dedup": op8_minhash.ORACLE_SQL,
         "op10_decontamination": op10_decontaminate.ORACLE_SQL,
+        "op11_prefix_trie": op11_prefix_trie.ORACLE_SQL,
         "op12_collocations": op12_collocations.ORACLE_SQL,
     }
