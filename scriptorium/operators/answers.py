@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import preview, strip_tags
+from scriptorium.sources.ranges import in_ranges, several_parts
 
 RULES = "只根据编号片段回答，每个结论标注来源，例如：[片段2，第7页]。\n\n参考片段：\n"
 REWRITE = "把最新问题改写成完整的检索问题，只输出问题。\n\n对话历史：\n"
@@ -35,14 +36,41 @@ def chat_history(turns: DataFrame, most: int = 6) -> DataFrame:
 
     A user turn whose next row is no answer is not part of later histories; system rows
     are left out. turns: conv_id, turn, role, text.
+
+    Turns lie in ranges of (conv_id, turn), and a range's frames see that range alone. What
+    a conversation brings from earlier ranges is a few rows a range: the role of the next
+    range's first turn, and the last ``most`` messages of those before. So a conversation
+    of any length is several tasks'.
     """
-    turn, conv = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
-    spoken = turns.where("role IN ('user', 'assistant')").withColumn("next", F.lead("role").over(turn))
-    answered = F.when((F.col("role") == "assistant") | (F.col("next") == "assistant"), F.struct("role", "text"))
+    spoken = turns.where("role IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")
+    dealt = in_ranges(spoken, F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"))
+    here = Window.partitionBy("conv_id", "part")
+    conv, turn = Window.partitionBy("conv_id"), here.orderBy("turn")
+    firsts = several_parts(dealt.groupBy("conv_id", "part").agg(F.min_by("role", F.struct("turn")).alias("first")), "conv_id")
+    following = firsts.select("conv_id", "part", F.lead("first").over(conv.orderBy("part")).alias("following"))
+    joined = _with(dealt, F.broadcast(following))
+    answered = (F.col("role") == "assistant") | (F.coalesce(F.lead("role").over(turn), "following") == "assistant")
+    marked = joined.withColumn("message", F.when(answered, F.struct("role", "text"))).drop("following")
+    # the last messages of each part of a conversation that goes on; two parts a range at most begin or end within it
+    ends = marked.where("message IS NOT NULL").join(F.broadcast(firsts.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"))), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left_semi")
+    tails = ends.withColumn("r", F.row_number().over(here.orderBy(F.desc("turn")))).where(F.col("r") <= most)
+    events = tails.select("conv_id", "part", "r", "message").unionByName(firsts.select("conv_id", "part", F.lit(None).cast("int").alias("r"), F.lit(None).cast(tails.schema["message"].dataType).alias("message")))
+    # within a part, the row that asks stands before the messages, which go from the earliest
+    in_order = conv.orderBy("part", F.coalesce(-F.col("r"), F.lit(-most - 1)))
+    numbered = events.withColumn("n", F.count("message").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    earlier = F.collect_list("message").over(conv.orderBy("n").rangeBetween(-most, -1))
+    carried = numbered.withColumn("earlier", earlier).where("r IS NULL").select("conv_id", "part", "earlier")
     # messages count from 0; a row sees those with the last numbers before its own, not the whole past
-    numbered = spoken.withColumn("message", answered).withColumn("n", F.count("message").over(turn.rowsBetween(Window.unboundedPreceding, -1)))
-    last = F.collect_list("message").over(conv.orderBy("n").rangeBetween(-most, -1))
-    return numbered.select("conv_id", "turn", "role", F.col("text").alias("question"), last.alias("history")).where("role = 'user'").drop("role")
+    counted = marked.withColumn("n", F.count("message").over(turn.rowsBetween(Window.unboundedPreceding, -1)))
+    own = counted.withColumn("own", F.collect_list("message").over(here.orderBy("n").rangeBetween(-most, -1))).where("role = 'user'")
+    both = _with(own, carried).select("conv_id", "turn", F.col("text").alias("question"), F.concat(F.coalesce("earlier", F.array().cast(own.schema["own"].dataType)), "own").alias("h"))
+    return both.select("conv_id", "turn", "question", F.slice("h", F.greatest(F.size("h") - most + 1, F.lit(1)), F.lit(most)).alias("history"))
+
+
+def _with(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """``rows`` and what ``other`` says of their part of a conversation, null conv_ids too."""
+    named = other.withColumnsRenamed({"conv_id": "_conv", "part": "_part"})
+    return rows.join(named, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left").drop("_conv", "_part")
 
 
 def spoken_lines(history: Column) -> Column:

@@ -32,12 +32,21 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.sha2(parts, 256).alias("chunk_id"), "source", "page", "chunk_no", "text")
 
 
-def papers_without_chunks(pages: DataFrame, kept: DataFrame) -> DataFrame:
-    return pages.select("source").distinct().join(kept.select("source").distinct(), "source", "left_anti")
+def kept_by_source(pages: DataFrame) -> DataFrame:
+    """(source, chunks): how many chunks of each source pass every rule, 0 too, in one pass over the pages.
+
+    The outer generate keeps a page that has no text, so no second scan has to tell which
+    sources there are; counts meet before the shuffle.
+    """
+    cut = pages.select("source", F.explode_outer(F.split(clean_text(F.col("text")), "\n\n")).alias("text"))
+    kept = F.coalesce((F.col("text") != "") & (reject_reason(F.col("text")) == "ok"), F.lit(False))
+    return cut.groupBy("source").agg(F.count_if(kept).alias("chunks"))
+
+
+def papers_without_chunks(pages: DataFrame) -> DataFrame:
+    return kept_by_source(pages).where("chunks = 0").select("source")
 
 
-def ingest_totals(pages: DataFrame, kept: DataFrame) -> DataFrame:
+def ingest_totals(pages: DataFrame) -> DataFrame:
     """papers, papers_with_chunks, chunks."""
-    per = kept.groupBy("source").agg(F.count("*").alias("n"))
-    joined = pages.select("source").distinct().join(per, "source", "left")
-    return joined.agg(F.count("*").alias("papers"), F.count("n").alias("papers_with_chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+    return kept_by_source(pages).agg(F.count("*").alias("papers"), F.count_if(F.col("chunks") > 0).alias("papers_with_chunks"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))

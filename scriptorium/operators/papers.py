@@ -12,6 +12,8 @@ from scriptorium.functions import text as T
 from scriptorium.sources.papers import scratch_path
 
 SCAN = 200
+#: Names of cited pages that are broadcast at most; more of them meet the pages by shuffle.
+CITED = 500_000
 # Columns of the summary table, in order.
 SUMMARY = (
     "original_filename extracted_title authors year journal doi doi_status research_background research_question research_objective research_method model_or_framework "
@@ -59,6 +61,45 @@ def write_requests(requests: DataFrame, folder: str) -> None:
     requests.write.json(folder)
 
 
+def request_state(requests: DataFrame, ledger: DataFrame, most: int = 3) -> DataFrame:
+    """(request_id, sent, failed, state) of each request, from a ledger of what became of it.
+
+    ledger: (request_id, event), any number of rows of ``sent``, ``failed`` or ``answered``
+    in any order; events of unknown requests are left out. A request is answered, pending
+    (sent without an outcome), given_up (failed ``most`` times), retry or new.
+    """
+    events = ledger.groupBy("request_id").agg(*(F.count_if(F.col("event") == e).alias(e) for e in ("sent", "failed", "answered")))
+    known = requests.select("request_id").distinct().join(events, "request_id", "left")
+    sent, failed, answered = (F.coalesce(c, F.lit(0)) for c in ("sent", "failed", "answered"))
+    state = F.when(answered > 0, "answered").when(failed >= most, "given_up").when(sent > failed, "pending").when(failed > 0, "retry").otherwise("new")
+    return known.select("request_id", sent.alias("sent"), failed.alias("failed"), state.alias("state"))
+
+
+def requests_to_send(requests: DataFrame, ledger: DataFrame, most: int = 3) -> DataFrame:
+    """The requests that are new or to be tried again: those without an answer, an open attempt or ``most`` failures.
+
+    The ledger is counted first and only names meet the requests, so prompts of requests
+    that need nothing are dropped where they lie.
+    """
+    events = ledger.groupBy("request_id").agg(*(F.count_if(F.col("event") == e).alias(e) for e in ("sent", "failed", "answered")))
+    done = events.where((F.col("answered") > 0) | (F.col("failed") >= most) | (F.col("sent") > F.col("failed")))
+    return requests.join(done.select("request_id"), "request_id", "left_anti")
+
+
+def answered_events(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """(request_id, event) of what came back: answered where a response is a JSON object, failed where it is null or none.
+
+    responses: (request_id, response). Rows of requests that were not sent are left out.
+    """
+    known = responses.join(requests.select("request_id").distinct(), "request_id", "left_semi")
+    return known.select("request_id", F.when(R.parse_response(F.col("response")).isNotNull(), "answered").otherwise("failed").alias("event"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Add events to the ledger at ``path``."""
+    events.select("request_id", "event").write.mode("append").parquet(path)
+
+
 def paper_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
     """One typed record for each paper (path, title, full_text), with its review reasons.
 
@@ -216,9 +257,17 @@ def contract_check(responses: DataFrame) -> DataFrame:
 
 
 def evidence_check(findings: DataFrame, pages: DataFrame, longest: int = 80) -> DataFrame:
-    """(source, finding, page, verdict) for every page a finding cites: ok, no_page, long_excerpt or not_on_page."""
+    """(source, finding, page, verdict) for every page a finding cites: ok, no_page, long_excerpt or not_on_page.
+
+    The cited pages' names go to the pages first; texts of pages that nobody cites are not
+    shuffled.
+    """
     cited = findings.select("source", "finding", "excerpt", F.explode("pages").alias("page"))
-    joined = cited.join(pages.select("source", "page", "text"), ["source", "page"], "left")
+    names = cited.select("source", "page").distinct()
+    if names.limit(CITED + 1).count() <= CITED:
+        names = F.broadcast(names)
+    wanted = pages.select("source", "page", "text").join(names, ["source", "page"], "left_semi")
+    joined = cited.join(wanted, ["source", "page"], "left")
     verdict = F.when(F.col("text").isNull(), "no_page").when(F.length("excerpt") > longest, "long_excerpt").when(~F.contains("text", "excerpt"), "not_on_page").otherwise("ok")
     return joined.select("source", "finding", "page", verdict.alias("verdict"))
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries that are broadcast at a time; larger sets are answered block by block.
+from scriptorium.sources.papers import scratch_path
+from scriptorium.sources.ranges import numbered_within
+
+#: Queries that are broadcast at most; more of them become rows beside the store, in blocks of so many.
 QUERY_BLOCK = 10_000
+#: Vectors of the store that meet a block of queries at a time.
+PAGE_ROWS = 16_384
 
 
 def hash_vectors(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
@@ -47,6 +50,31 @@ def embed_from(rows: DataFrame, vectors: DataFrame, key: str, batch: str | None
     return joined.join(failed, batch, "left_anti").select(*joined.columns)
 
 
+def in_batches(rows: DataFrame, group: str, *order: str, most: int = 64) -> DataFrame:
+    """``rows`` with ``batch_no``, from 1: each ``group``'s rows in ``order``, ``most`` to a call of an embedder."""
+    numbered = numbered_within(rows, group, *order, name="_n")
+    return numbered.withColumn("batch_no", F.floor((F.col("_n") - 1) / most).cast("long") + 1).drop("_n")
+
+
+def batch_report(rows: DataFrame, vectors: DataFrame, key: str, group: str) -> DataFrame:
+    """(group, batch_no, sent, missing, stored, failure): what became of each batch of ``rows`` (with ``batch_no``).
+
+    A batch is stored whole or not at all: where rows have no vector, or vectors of
+    different lengths, none of its rows are, and ``failure`` says why.
+    """
+    size = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    known = vectors.groupBy(key).agg(F.max("embedding").alias("embedding"))
+    per = rows.select(key, group, "batch_no").join(known, key, "left").groupBy(group, "batch_no").agg(F.count("*").alias("sent"), F.count_if(F.col("embedding").isNull()).alias("missing"), F.min(size).alias("least"), F.max(size).alias("most"))
+    failure = F.when(F.col("missing") > 0, "missing vectors").when(F.col("least") != F.col("most"), "mixed lengths")
+    return per.withColumn("failure", failure).select(group, "batch_no", "sent", "missing", F.when(F.col("failure").isNull(), F.col("sent")).otherwise(0).cast("long").alias("stored"), "failure")
+
+
+def batch_totals(report: DataFrame) -> DataFrame:
+    """batches, failed_batches, sent, stored over a report."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return report.agg(F.count("*").alias("batches"), F.count("failure").alias("failed_batches"), total("sent"), total("stored"))
+
+
 def vector_profile(vectors: DataFrame) -> DataFrame:
     """shortest, longest, missing, vectors: mixed lengths show before a search fails on them."""
     n = F.size("embedding")
@@ -60,13 +88,13 @@ def _usable(rows: DataFrame, name: str, vector: str, metric: str) -> DataFrame:
     return rows.where(good & F.exists(v, lambda x: x != 0) if metric == "cosine" else good)
 
 
-def require_equal_lengths(queries: DataFrame, store: DataFrame) -> int | None:
-    """The one length of all vectors of both tables; raises where there are several; None without vectors."""
-    sizes = lambda rows, v: rows.select(F.size(v).alias("n"))
-    found = sizes(queries, "q").unionByName(sizes(store, "embedding")).agg(F.min("n"), F.max("n")).first()
-    if found[0] != found[1]:
-        raise ValueError(f"vectors of {found[0]} to {found[1]} components; embed all with one model first")
-    return found[0]
+def profile(queries: DataFrame, store: DataFrame) -> tuple[int | None, int]:
+    """The one length of all vectors of both tables (None without vectors) and the number of queries, from one aggregate; raises where there are several lengths."""
+    sizes = queries.select(F.size("q").alias("n"), F.lit(1).alias("asked")).unionByName(store.select(F.size("embedding").alias("n"), F.lit(0).alias("asked")))
+    least, most, asked = sizes.agg(F.min("n"), F.max("n"), F.coalesce(F.sum("asked"), F.lit(0))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} components; embed all with one model first")
+    return least, asked
 
 
 def distances(q: np.ndarray, e: np.ndarray, metric: str) -> np.ndarray:
@@ -83,53 +111,129 @@ def distances(q: np.ndarray, e: np.ndarray, metric: str) -> np.ndarray:
     return out if metric == "sql2" else 1 - out
 
 
-def knn(queries: DataFrame, store: DataFrame, k: int = 6, metric: str = "sql2", query_block: int = QUERY_BLOCK) -> DataFrame:
+class Nearest:
+    """The k nearest of what was seen so far for each query of a block."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = q, k, metric
+        self.whose, self.ids, self.far = np.zeros(0, dtype=np.int64), None, np.zeros(0)
+        self.limit = np.full(len(q), np.inf)  # the k-th distance so far
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, 2_000_000 // max(1, len(self.q)))
+        if self.ids is None:
+            self.ids = ids[:0]
+        for at in range(0, len(vectors), step):
+            d = distances(self.q, vectors[at : at + step], self.metric)
+            i, j = np.nonzero(d <= self.limit[:, None])
+            whose, ids_, far = np.concatenate((self.whose, i)), np.concatenate((self.ids, ids[at + j])), np.concatenate((self.far, d[i, j]))
+            order = np.lexsort((ids_, far, whose))
+            whose, ids_, far = whose[order], ids_[order], far[order]
+            place = np.arange(len(whose)) - np.searchsorted(whose, whose, "left")
+            self.limit[whose[place == self.k - 1]] = far[place == self.k - 1]
+            self.whose, self.ids, self.far = (x[place < self.k] for x in (whose, ids_, far))
+
+    def found(self, names: list, kinds: tuple[pa.DataType, pa.DataType]) -> dict[str, pa.Array]:
+        return {"query_id": pa.array([names[i] for i in self.whose], kinds[0]), "vec_id": pa.array([] if self.ids is None else self.ids.tolist(), kinds[1]), "distance": pa.array(self.far)}
+
+
+def _vectors(column, dims: int) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dims)
+
+
+def packed(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """(name, data): runs of at most ``most`` rows as Arrow streams, written; ``name`` tells them apart.
+
+    Each task packs the rows it has, so nothing is shuffled and no key can be hot.
+    """
+
+    def run(batches):
+        waiting, size = [], 0
+
+        def out(held):
+            table = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            return pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+        for batch in batches:
+            while batch.num_rows:
+                part, batch = batch.slice(0, most - size), batch.slice(most - size)
+                waiting.append(part)
+                size += part.num_rows
+                if size == most:
+                    yield out(waiting)
+                    waiting, size = [], 0
+        if size:
+            yield out(waiting)
+
+    at = scratch_path(rows.sparkSession, name)
+    blocks = rows.mapInArrow(run, "data binary").withColumn(name, F.monotonically_increasing_id())
+    blocks.write.parquet(at)
+    return rows.sparkSession.read.schema(blocks.schema).parquet(at)
+
+
+def _tiles(pages: DataFrame, blocks: DataFrame, dims: int, k: int, metric: str, schema: str, kinds: tuple[pa.DataType, pa.DataType], lot: int = 4) -> DataFrame:
+    """Every page of the store with every block of queries, ``lot`` blocks and about one page to a task's group."""
+    lots, deals = -(-blocks.count() // lot), pages.count()
+    of = lambda name, many: F.pmod(F.xxhash64(name), F.lit(many)).cast("int")
+    all_of = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    left = pages.select(of("page", deals).alias("deal"), all_of(lots).alias("lot"), "data")
+    right = blocks.select(all_of(deals).alias("deal"), of("block", lots).alias("lot"), "data")
+
+    def run(page: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        for raw in asked.column("data"):
+            block = pa.ipc.open_stream(raw.as_buffer()).read_all().combine_chunks()
+            near = Nearest(_vectors(block.column("q").combine_chunks(), dims), k, metric)
+            for other in page.column("data"):
+                rows = pa.ipc.open_stream(other.as_buffer()).read_all()
+                for batch in rows.to_batches():
+                    near.see(np.array(batch.column("vec_id").to_pylist()), _vectors(batch.column("embedding"), dims))
+            out.append(pa.table(near.found(block.column("query_id").to_pylist(), kinds)))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], kinds[0]), "vec_id": pa.array([], kinds[1]), "distance": pa.array([], pa.float64())})
+
+    key = ["deal", "lot"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
+
+
+def knn(queries: DataFrame, store: DataFrame, k: int = 6, metric: str = "sql2", query_block: int = QUERY_BLOCK, page_rows: int = PAGE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, distance): the ``k`` nearest rows of ``store`` for each query, ties by vec_id.
 
     queries: (query_id, q); store: (vec_id, embedding); metric: sql2, l2, ip or cosine.
     Rows without an id, and vectors that are null, hold a null or a number that is not finite (for cosine, or are
     all zeros) take no part; vectors of different lengths raise before the search. Rows
-    that repeat an id each count. The store streams past a block of at most about
-    ``query_block`` queries, in batches of vectors, and each task keeps k rows a query
-    before the shuffle; more queries mean more passes, not a larger broadcast.
+    that repeat an id each count.
+
+    Up to ``query_block`` queries are broadcast and the store streams past them where it
+    lies. More queries become blocks, rows beside the store: the store is read once, as
+    pages of ``page_rows`` vectors, and a task meets a page with a block. Either way a task
+    keeps k rows a query before the shuffle, and nothing that is broadcast grows.
     """
     spark = store.sparkSession
     queries, store = _usable(queries.select("query_id", "q"), "query_id", "q", metric), _usable(store.select("vec_id", "embedding"), "vec_id", "embedding", metric)
-    dims = require_equal_lengths(queries, store)
-    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *store.schema]}
-    schema = f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, distance double"
-    if not dims:
-        return spark.createDataFrame([], f"query_id {kinds['query_id']}, rank int, vec_id {kinds['vec_id']}, distance double")
-    blocks = -(-queries.count() // query_block) or 1
-
-    def search(asked: list[tuple]) -> DataFrame:
-        held = spark.sparkContext.broadcast(([r[0] for r in asked], np.array([r[1] for r in asked], dtype=np.float64).reshape(len(asked), dims)))
-
-        def run(batches):
+    dims, asked = profile(queries, store)
+    kinds = {f.name: f.dataType for f in [*queries.schema, *store.schema]}
+    schema = f"query_id {kinds['query_id'].simpleString()}, vec_id {kinds['vec_id'].simpleString()}, distance double"
+    if not dims or not asked:
+        return spark.createDataFrame([], schema.replace(", vec_id", ", rank int, vec_id"))
+    arrow = to_arrow_type(kinds["query_id"]), to_arrow_type(kinds["vec_id"])
+    if asked <= query_block:
+        rows = queries.collect()  # ``query_block`` at most
+        held = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(-1, dims)))
+
+        def stream(batches):
             names, q = held.value
-            whose, ids, far = np.zeros(0, dtype=np.int64), None, np.zeros(0)
-            limit = np.full(len(q), np.inf)  # the k-th distance so far
-            step = max(1, 2_000_000 // max(1, len(q)))
+            near = Nearest(q, k, metric)
             for batch in batches:
-                e = np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(-1, dims)
-                own = np.array(batch.column("vec_id").to_pylist())
-                ids = own[:0] if ids is None else ids
-                for at in range(0, len(e), step):
-                    d = distances(q, e[at : at + step], metric)
-                    i, j = np.nonzero(d <= limit[:, None])
-                    whose, ids, far = np.concatenate((whose, i)), np.concatenate((ids, own[at + j])), np.concatenate((far, d[i, j]))
-                    order = np.lexsort((ids, far, whose))
-                    whose, ids, far = whose[order], ids[order], far[order]
-                    place = np.arange(len(whose)) - np.searchsorted(whose, whose, "left")
-                    limit[whose[place == k - 1]] = far[place == k - 1]
-                    whose, ids, far = (x[place < k] for x in (whose, ids, far))
-            yield pa.record_batch([pa.array([names[i] for i in whose], kinds_of[0]), pa.array([] if ids is None else ids.tolist(), kinds_of[1]), pa.array(far)], names=["query_id", "vec_id", "distance"])
-
-        return store.mapInArrow(run, schema)
-
-    kinds_of = [to_arrow_type(next(f.dataType for f in [*queries.schema, *store.schema] if f.name == n)) for n in ("query_id", "vec_id")]
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    # a block is bounded by ``query_block``, and only it comes to the driver
-    found = reduce(DataFrame.unionByName, (search(queries.where(block == b).collect() if blocks > 1 else queries.collect()) for b in range(blocks)))
+                near.see(np.array(batch.column("vec_id").to_pylist()), _vectors(batch.column("embedding"), dims))
+            found = near.found(names, arrow)
+            yield pa.record_batch(list(found.values()), names=list(found))
+
+        found = store.mapInArrow(stream, schema)
+    else:
+        pages, blocks = packed(store, page_rows, "page"), packed(queries, query_block, "block")
+        found = _tiles(pages, blocks, dims, k, metric, schema, arrow)
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -9,7 +9,7 @@ from scriptorium.sources.papers import spread
 
 _FULL = (
     """{"extracted_title":"T'||doc_id||'","authors":["A","B"],"year":"2024","journal":"J","research_question":"q","research_method":{"text":"m","evidence_pages":[1,3],"evidence_excerpt":"e"},"""
-    """"key_findings":[{"text":"f1","evidence_pages":[1],"evidence_excerpt":"x"},{"text":"f2","evidence_pages":["2","z"],"evidence_excerpt":""}],"limitations_reported":["r1"],"relevance_score":"7"}"""
+    """"key_findings":[{"text":"f1","evidence_pages":[1],"evidence_excerpt":"x"},{"text":"f2","evidence_pages":["2","z"],"evidence_excerpt":""}],"limitations_reported":["r1"],"relevance_score":"得分 '||(doc_id%13)||' 分"}"""
 )
 INJECTED = """select doc_id, text, text || chr(10) || case doc_id % 10
   when 0 then 'high' || chr(173) || 'tech evalu-' || chr(10) || 'ate well- known'

@@ -95,6 +95,41 @@ def request_prompts(spark, sf_dir):
     return P.request_prompts(whole.withColumnsRenamed({"source": "path"}).withColumn("title", F.col("path")), "topic")
 
 
+# what became of requests: documents' numbers say how often each was sent and failed, and which were answered
+_EVENTS = """(select doc_id, unnest(list_concat(list_resize(['sent'], greatest(doc_id % 5, 1), 'sent'), list_resize(['failed'], greatest(doc_id % 4, 1), 'failed'), case when doc_id % 7 = 3 then ['answered'] else [] end)) as event
+  from documents where doc_id % 6 <> 0)"""
+_STATE = f"""select sha256(doc_id::varchar) as request_id, doc_id, count(*) filter (event = 'sent') as sent, count(*) filter (event = 'failed') as failed,
+  case when count(*) filter (event = 'answered') > 0 then 'answered' when count(*) filter (event = 'failed') >= 3 then 'given_up' when count(*) filter (event = 'sent') > count(*) filter (event = 'failed') then 'pending'
+    when count(*) filter (event = 'failed') > 0 then 'retry' else 'new' end as state from (select doc_id from documents) left join {_EVENTS} using (doc_id) group by doc_id"""
+
+
+def _ledger(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Requests, and a ledger of events that was written and read back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    requests = docs.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("request_id"), "doc_id")
+    times = lambda word, n: F.array_repeat(F.lit(word), F.greatest(F.col("doc_id") % n, F.lit(1)).cast("int"))
+    events = F.concat(times("sent", 5), times("failed", 4), F.when(F.col("doc_id") % 7 == 3, F.array(F.lit("answered"))).otherwise(F.array().cast("array<string>")))
+    at = S.scratch_path(spark, "ledger")
+    P.append_events(requests.where("doc_id % 6 <> 0").select("request_id", F.explode(events).alias("event")), at)
+    return requests, spark.read.parquet(at)
+
+
+@register(f"select request_id, sent, failed, state from ({_STATE})")
+def request_state(spark, sf_dir):
+    return P.request_state(*_ledger(spark, sf_dir))
+
+
+@register(f"select request_id, doc_id from ({_STATE}) where state in ('new', 'retry')")
+def requests_to_send(spark, sf_dir):
+    return P.requests_to_send(*_ledger(spark, sf_dir))
+
+
+@register(f"select sha256(path) as request_id, case when j is not null then 'answered' else 'failed' end as event from ({O.answers(X.ANSWERED)})")
+def answered_events(spark, sf_dir):
+    papers = X.papers(spark, sf_dir).withColumn("request_id", F.sha2("path", 256))
+    return P.answered_events(papers.select("request_id"), papers.select("request_id", "response"))
+
+
 @register(f"select doc_id, {O.clean('body')} as text from ({X.CAPTIONED})")
 def clean_pages(spark, sf_dir):
     return X.derived(spark, sf_dir, X.CAPTIONED).select("doc_id", T.clean_text(F.col("body")).alias("text"))
@@ -143,12 +178,12 @@ def kept_chunks(spark, sf_dir):
 
 @register(f"select distinct source from ({O.pages()}) where source not in (select source from ({O.kept()}))")
 def papers_without_chunks(spark, sf_dir):
-    return C.papers_without_chunks(doc_pages(spark, sf_dir), C.kept_chunks(doc_chunks(spark, sf_dir)))
+    return C.papers_without_chunks(doc_pages(spark, sf_dir))
 
 
 @register(f"select count(*) as papers, count(n) as papers_with_chunks, coalesce(sum(n), 0)::bigint as chunks from (select distinct source from ({O.pages()})) left join (select source, count(*) as n from ({O.kept()}) group by source) using (source)")
 def ingest_totals(spark, sf_dir):
-    return C.ingest_totals(doc_pages(spark, sf_dir), C.kept_chunks(doc_chunks(spark, sf_dir)))
+    return C.ingest_totals(doc_pages(spark, sf_dir))
 
 
 @register(f"select sha256(source || '|' || page || '|' || chunk_no || '|' || text) as chunk_id, source, page, chunk_no, text from ({O.kept()})")
@@ -212,14 +247,45 @@ def knn_odd_vectors(spark, sf_dir):
     return V.knn(asked, store, 6).withColumn("distance", F.round("distance", 4) + F.lit(0.0))
 
 
-@register(
-    f"""select source, page, chunk_no, e.embedding[1] as first from ({O.kept()}) k join embeddings e on e.vec_id = k.source::bigint and e.embedding is not null
-where page not in (select page from ({O.kept()}) j left join embeddings f on f.vec_id = j.source::bigint where f.embedding is null)"""
-)
+@register(_knn_sql(_DIFF))
+def knn_blocks(spark, sf_dir):
+    """As knn_top6 with queries in blocks beside the store: more than one block at any size."""
+    store = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = store.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return V.knn(asked, store, 6, query_block=2, page_rows=256).withColumn("distance", F.round("distance", 4) + F.lit(0.0))
+
+
+# a chunk's vector is that of row (chunk_id's first digits) % 500, where there is one; some calls fail
+_ASKED = f"""(select source, page, chunk_no, (('0x' || substr(sha256(source || '|' || page || '|' || chunk_no || '|' || text), 1, 7))::bigint % 500) as vec_id,
+  ((row_number() over (partition by source order by page, chunk_no) - 1) // 8 + 1)::bigint as batch_no from ({O.kept()}))"""
+_ANSWERS = "(select vec_id, max(embedding) as embedding from embeddings where vec_id % 37 <> 5 and embedding is not null group by vec_id)"
+_REPORT = f"""select source, batch_no, count(*) as sent, count(*) filter (e.embedding is null) as missing, case when count(*) filter (e.embedding is null) > 0 or min(len(e.embedding)) <> max(len(e.embedding)) then 0 else count(*) end as stored,
+  case when count(*) filter (e.embedding is null) > 0 then 'missing vectors' when min(len(e.embedding)) <> max(len(e.embedding)) then 'mixed lengths' end as failure from {_ASKED} a left join {_ANSWERS} e using (vec_id) group by source, batch_no"""
+
+
+def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Kept chunks in batches of 8 a source, each with the number of its vector; and the vectors that came back."""
+    chunks = C.with_ids(C.kept_chunks(doc_chunks(spark, sf_dir)))
+    number = F.conv(F.substring("chunk_id", 1, 7), 16, 10).cast("long") % 500
+    return V.in_batches(chunks.withColumn("vec_id", number), "source", "page", "chunk_no", most=8), read(spark, sf_dir, "embeddings").where("vec_id % 37 <> 5")
+
+
+@register(f"select source, batch_no, page, chunk_no, embedding[1] as first from {_ASKED} join {_ANSWERS} using (vec_id) semi join (select source, batch_no from ({_REPORT}) where failure is null) using (source, batch_no)")
 def embedded_chunks(spark, sf_dir):
-    """Kept chunks with the vector of their source; pages stand for batches."""
-    chunks = C.kept_chunks(doc_chunks(spark, sf_dir)).withColumn("vec_id", F.col("source").cast("long"))
-    return V.embed_from(chunks, read(spark, sf_dir, "embeddings"), "vec_id", "page").select("source", "page", "chunk_no", F.get("embedding", F.lit(0)).alias("first"))
+    """Kept chunks of whole batches with their vectors."""
+    chunks, vectors = _asked(spark, sf_dir)
+    whole = chunks.withColumn("call", F.concat_ws("|", "source", "batch_no"))
+    return V.embed_from(whole, vectors, "vec_id", "call").select("source", "batch_no", "page", "chunk_no", F.get("embedding", F.lit(0)).alias("first"))
+
+
+@register(_REPORT)
+def embedding_batches(spark, sf_dir):
+    return V.batch_report(*_asked(spark, sf_dir), "vec_id", "source")
+
+
+@register(f"select count(*) as batches, count(failure) as failed_batches, coalesce(sum(sent), 0)::bigint as sent, coalesce(sum(stored), 0)::bigint as stored from ({_REPORT})")
+def embedding_totals(spark, sf_dir):
+    return V.batch_totals(V.batch_report(*_asked(spark, sf_dir), "vec_id", "source"))
 
 
 _FOUND = f"select h.query_id, h.rank, d.doc_id::varchar as source, 1 as page, d.text, h.distance from ({_knn_sql(_DIFF)}) h join documents d on d.doc_id = h.vec_id"
@@ -269,6 +335,15 @@ def rewrite_requests(spark, sf_dir):
     return A.rewrite_requests(_history(spark, sf_dir))
 
 
+@register(f"select conv_id, turn, case when len(history) > 0 and turn % 3 <> 1 then trim(case turn % 3 when 0 then '  ' || question || ' (whole) ' else question || '?' end) else question end as question from ({_HISTORY})")
+def rewritten(spark, sf_dir):
+    """Requests of two turns of three are answered."""
+    requests = A.rewrite_requests(_history(spark, sf_dir))
+    asked = requests.where("prompt IS NOT NULL AND turn % 3 <> 1")
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), "question", F.lit(" (whole) "))).otherwise(F.concat("question", F.lit("?")))
+    return A.rewritten(requests, asked.select("conv_id", "turn", text.alias("response")))
+
+
 @register(f"select conv_id, turn, (len(history) + 2)::int as messages, 'system: {SYSTEM}' || chr(10) || coalesce(array_to_string(list_transform(history, lambda m: m.role || ': ' || m.text || chr(10)), ''), '') || 'user: ' || question as joined from ({_HISTORY})")
 def chat_messages(spark, sf_dir):
     rows = A.chat_messages(_history(spark, sf_dir), SYSTEM)
@@ -530,6 +605,48 @@ def relevance_scores(spark, sf_dir):
     return P.relevance_scores(records(spark, sf_dir))
 
 
+@register(f"select path, title as extracted_title, len(reasons) > 0 as needs_review, array_to_string(reasons, '|') as reasons from ({_REASONS})")
+def reports_read_back(spark, sf_dir):
+    """The JSON sink: records written and read again."""
+    at = S.scratch_path(spark, "reports")
+    P.write_reports(records(spark, sf_dir), at, "then")
+    back = spark.read.schema("path string, extracted_title string, needs_review boolean, reasons array<string>").json(f"{at}/records")
+    return back.select("path", "extracted_title", "needs_review", F.array_join("reasons", "|").alias("reasons"))
+
+
+# the store: appended, appended again, reset, begun anew
+
+_PART = f"(select count(*) from ({O.kept()}) where source::bigint % 2 = 0)"
+_WHOLE_STORE = f"(select count(*) from ({O.kept()}))"
+
+
+@register(f"select * from (values (1, {_PART}), (2, {_WHOLE_STORE}), (3, {_WHOLE_STORE}), (4, 0), (5, {_PART})) t(step, chunks)")
+def store_steps(spark, sf_dir):
+    """Chunks of a store after half was appended, all, the first half again, after a reset, and after half anew."""
+    at = S.scratch_path(spark, "store")
+    chunks = C.with_ids(C.kept_chunks(doc_chunks(spark, sf_dir)))
+    half = chunks.where(F.col("source").cast("long") % 2 == 0)
+    counts = []
+    for step, new in enumerate((half, chunks, half, None, half), 1):
+        if new is None:
+            S.reset_store(spark, at)
+        else:
+            S.append_chunks(new, at)
+            S.require_non_empty(S.read_store(spark, at))
+        counts.append(S.read_store(spark, at).agg(F.count("*").alias("chunks")).withColumn("step", F.lit(step)).first())
+    return spark.createDataFrame([(r["step"], r["chunks"]) for r in counts], "step int, chunks long")
+
+
+@register(f"select source, page, chunk_no, text from ({O.kept()})")
+def chunk_store(spark, sf_dir):
+    """A store appended in two batches, one of which comes twice."""
+    at = S.scratch_path(spark, "store")
+    chunks = C.with_ids(C.kept_chunks(doc_chunks(spark, sf_dir)))
+    for batch, rest in (("even", 0), ("odd", 1), ("even", 0)):
+        S.append_chunks(chunks.where(F.col("source").cast("long") % 2 == rest), at, batch=batch)
+    return S.read_store(spark, at).select("source", "page", "chunk_no", "text")
+
+
 # streams: the same rows as in batch
 
 
@@ -537,13 +654,17 @@ def relevance_scores(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     at, docs = S.scratch_path(spark, "stream"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     G.stream_ingest(spark, f"{sf_dir}/documents.parquet*", docs.schema, f"{at}/store", f"{at}/state")
-    return spark.read.parquet(f"{at}/store")
+    return S.read_store(spark, f"{at}/store")
 
 
 @register(f"select conv_id, turn, len(history)::int as n_history, coalesce(array_to_string(list_transform(history, lambda m: m.role || ': ' || m.text), chr(10)), '') as history from ({_HISTORY})")
 def stream_chat_memory(spark, sf_dir):
+    """Turns come in four micro-batches that cut through conversations, late ones before early ones."""
     at = S.scratch_path(spark, "stream")
-    turns = spark.readStream.schema(read(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parquet*")
-    rows = G.stream_chat_memory(turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"))
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    for number in range(4):
+        turns.where(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == number).coalesce(1).write.parquet(f"{at}/in/{number}")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+    rows = G.stream_chat_memory(stream)
     rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")

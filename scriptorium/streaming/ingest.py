@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scriptorium.operators.chunks import chunk_pages, kept_chunks, with_ids
 from scriptorium.sources.papers import append_chunks, pages_from_documents
@@ -14,29 +14,87 @@ from scriptorium.sources.papers import append_chunks, pages_from_documents
 def stream_ingest(spark: SparkSession, source: str, schema, store: str, checkpoint: str) -> None:
     """Chunk and filter the document files that are new in ``source`` and append them to the store, then stop.
 
-    The same columns as in batch; a chunk is appended once, also when a batch is repeated.
+    The same columns as in batch; a chunk is appended once. The store's ledger names the
+    micro-batches of this checkpoint, so one that is repeated costs nothing.
     """
     docs = spark.readStream.schema(schema).parquet(source)
     chunks = with_ids(kept_chunks(chunk_pages(pages_from_documents(docs))))
-    query = chunks.writeStream.foreachBatch(lambda df, _: append_chunks(df, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    append = lambda df, number: append_chunks(df, store, batch=f"{checkpoint}#{number}")
+    query = chunks.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def remember(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """State of a conversation: its last 6 answered messages, and a question still without answer."""
-    roles, texts, open_question = state.get if state.exists else ([], [], None)
-    kept, waiting, out = list(zip(roles, texts, strict=True)), open_question, []
-    for turn, role, text in sorted((t for f in frames for t in f[["turn", "role", "text"]].itertuples(index=False, name=None)), key=lambda t: t[0]):
-        if role == "user":
-            out.append((key[0], turn, len(kept), "\n".join(f"{r}: {x}" for r, x in kept)))
-            waiting = text
-        elif role == "assistant":
-            kept = (kept + ([("user", waiting)] if waiting is not None else []) + [("assistant", text)])[-6:]
-            waiting = None
-    state.update(([r for r, _ in kept], [x for _, x in kept], waiting))
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "n_history", "history"])
-
-
-def stream_chat_memory(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, n_history, history) of each user turn of a stream of conversation rows."""
-    return turns.groupBy("conv_id").applyInPandasWithState(remember, "conv_id long, turn long, n_history int, history string", "roles array<string>, texts array<string>, waiting string", "append", "NoTimeout")
+class Memory(StatefulProcessor):
+    """A conversation's turns in order, whatever order they come in.
+
+    ``last`` lists the last messages that were answered; ``early`` holds turns that came
+    before one of their predecessors, by number; ``place`` is the number of the next turn,
+    and the question that is still without an answer. A turn is worked on when all before
+    it were, or when ``patience`` milliseconds passed without the missing one.
+    """
+
+    def __init__(self, most: int, patience: int):
+        self.most, self.patience = most, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getListState("last", "role string, text string")
+        self.early = handle.getMapState("early", "turn bigint", "role string, text string")
+        self.place = handle.getValueState("place", "next bigint, waiting string, open boolean")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator[Row]:
+        place = self.place.get() if self.place.exists() else (0, None, False)
+        # a batch's turns of a conversation go to the state one by one, not into a sorted list
+        for r in rows:
+            if r.turn >= place[0]:
+                self.early.updateValue((r.turn,), (r.role, r.text))
+        yield from self._advance(key, place, [])
+        if self.patience and self.early.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """The missing turns did not come: go on with the earliest that did."""
+        there = sorted(k[0] for k in self.early.keys())
+        if there:
+            place = self.place.get()
+            yield from self._advance(key, (there[0], place[1], place[2]), there)
+
+    def _advance(self, key, place, also: list[int]) -> Iterator[Row]:
+        turn, waiting, is_open = place
+        kept = [(r[0], r[1]) for r in self.last.get()] if self.last.exists() else []
+        while True:
+            if not self.early.containsKey((turn,)):
+                later = [t for t in also if t > turn]
+                if not later:
+                    break
+                turn = later[0]
+            role, text = self.early.getValue((turn,))
+            self.early.removeKey((turn,))
+            if role == "user":
+                yield Row(conv_id=key[0], turn=turn, n_history=len(kept), history="\n".join(f"{r}: {x}" for r, x in kept if x is not None))
+                waiting, is_open = text, True
+            elif role == "assistant":
+                kept = (kept + ([("user", waiting)] if is_open else []) + [("assistant", text)])[-self.most :]
+                waiting, is_open = None, False
+            turn += 1
+        if kept:
+            self.last.put([(r, x) for r, x in kept])
+        self.place.update((turn, waiting, is_open))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_chat_memory(turns: DataFrame, most: int = 6, patience: int = 0) -> DataFrame:
+    """(conv_id, turn, n_history, history) of each user turn of a stream of conversation rows.
+
+    turns: conv_id, turn (numbered from 0 in each conversation), role, text. Turns may come
+    in any order and in any micro-batch; a question is answered with its history once all
+    turns before it have come. With ``patience`` (milliseconds), a gap is given up after
+    that long. A turn that comes again is passed over. State is kept in RocksDB, which the
+    session is set to.
+    """
+    spark = turns.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "conv_id long, turn long, n_history int, history string"
+    return turns.groupBy("conv_id").transformWithState(Memory(most, patience), schema, "Append", "ProcessingTime" if patience else "None")

@@ -9,6 +9,8 @@ from scriptorium.operators import papers as P
 from scriptorium.operators import vectors as V
 from scriptorium.plans import registry
 from scriptorium.sources import papers as S
+from scriptorium.sources import ranges as R
+from scriptorium.streaming import ingest as G
 
 
 def test_store_is_idempotent(spark, sf, tmp_path):
@@ -37,7 +39,7 @@ def test_list_papers(spark, tmp_path):
 def test_knn_in_blocks(spark, block):
     store = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(12)], "vec_id long, embedding array<float>")
     asked = store.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = V.knn(asked, store, 3, query_block=block).collect()
+    rows = V.knn(asked, store, 3, query_block=block, page_rows=5).collect()
     assert len(rows) == 15 and all(r.vec_id == r.query_id and r.distance == 0 for r in rows if r.rank == 1)
     for metric in ("l2", "ip", "cosine"):
         assert V.knn(asked, store, 20, metric).count() == 60
@@ -115,7 +117,7 @@ def test_history_of_a_long_conversation(spark):
 
 def test_pages_of_a_host_in_ranges(spark):
     rows = [(i * 37 % 1000, "http://a.b/x" if i % 3 else "http://c/y", f"h{i}") for i in range(1000)] + [(None, "http://a.b/", "n"), (5, None, "z")]
-    out = S.pages_from_html(spark.createDataFrame(rows, "page_id long, url string, html string"), most_ranges=16).collect()
+    out = S.pages_from_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     own = sorted((r.page, r.page_id) for r in out if r.source == "a.b")
     assert [p for p, _ in own] == list(range(1, len(own) + 1)) and [i for _, i in own[1:]] == sorted(i for _, i in own[1:]) and own[0][1] is None
     assert len(out) == len(rows)
@@ -139,3 +141,125 @@ def test_dense_vectors(spark):
     rows = spark.createDataFrame([(1, "a b b"), (2, "c")], "doc_id long, text string")
     out = V.dense(V.hash_vectors(rows, "doc_id", "text", 8), "doc_id", 8).collect()
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-6 for r in out)
+
+
+@pytest.fixture()
+def small_ranges(spark):
+    """Ranges stay as they were cut, however few rows they have."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_scan_of_the_store_for_several_blocks(spark, tmp_path):
+    """Four blocks of queries are rows beside the store; the packed store is what the search reads."""
+    at = str(tmp_path / "vectors")
+    spark.range(400).selectExpr("id as vec_id", "array(float(id % 7), float(id % 11), 1f) as embedding").write.parquet(at)
+    store = spark.read.parquet(at)
+    asked = store.where("vec_id < 40").selectExpr("vec_id as query_id", "embedding as q")
+    found = V.knn(asked, store, 4, query_block=10, page_rows=64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and f"{at}" not in plan
+    one = V.knn(asked, store, 4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_numbers_within_groups_over_several_ranges(spark, small_ranges):
+    """One group holds most rows and lies in several ranges; an outlying key changes no range."""
+    rows = [("hot", (i * 7919) % 3000) for i in range(3000)] + [("hot", 10**15), (None, 3), (None, None), ("b", 1)]
+    frame = spark.createDataFrame(rows, "host string, id long").repartition(4)
+    dealt = R.in_ranges(frame, "host", "id")
+    sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    assert dealt.where("host = 'hot'").select("part").distinct().count() > 1 and max(sizes) < 2000
+    out = R.numbered_within(frame, "host", F.asc_nulls_first("id")).collect()
+    hot = sorted((r["n"], r["id"]) for r in out if r["host"] == "hot")
+    assert hot == [(i + 1, i) for i in range(3000)] + [(3001, 10**15)]
+    assert sorted((r["n"], r["id"]) for r in out if r["host"] is None) == [(1, None), (2, 3)]
+
+
+def test_history_across_ranges(spark, small_ranges):
+    """A conversation with a third of all rows is several ranges'; each range sees what came before it."""
+    rng = np.random.default_rng(4)
+    turns = [(7, t, ["user", "user", "assistant", "system"][rng.integers(0, 4)], f"m{t}") for t in range(1200)]
+    turns += [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}") for c in range(100, 500) for t in range(6)] + [(None, 0, "user", "n"), (None, 1, "assistant", "m"), (None, 2, "user", "o")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    assert R.in_ranges(frame, F.asc_nulls_first("conv_id"), "turn").where("conv_id = 7").select("part").distinct().count() > 1
+    want = {}
+    for conv in {t[0] for t in turns}:
+        spoken = [t for t in turns if t[0] == conv and t[2] != "system"]
+        kept = [t[2] == "assistant" or (k + 1 < len(spoken) and spoken[k + 1][2] == "assistant") for k, t in enumerate(spoken)]
+        want |= {(conv, t[1]): [s[3] for s, y in zip(spoken[:k], kept, strict=False) if y][-6:] for k, t in enumerate(spoken) if t[2] == "user"}
+    out = A.chat_history(frame).collect()
+    assert {(r.conv_id, r.turn): [m.text for m in r.history] for r in out} == want and len(out) == len(want)
+
+
+def test_runs_of_pages_join_in_order(spark):
+    pages = spark.createDataFrame([("a", p, f"<{p}>") for p in range(200, 0, -1)] + [("b", 1, "x")], "source string, page int, text string")
+    out = {r["source"]: r for r in S.full_text(pages, run=7).collect()}
+    assert out["a"]["full_text"] == "".join(f"<{p}>" for p in range(1, 201)) and out["b"]["prompt_text"] == "===== PAGE 1 =====\nx"
+    assert out["a"]["prompt_text"] == "\n\n".join(f"===== PAGE {p} =====\n<{p}>" for p in range(1, 201))
+
+
+def test_batches_of_embeddings(spark):
+    rows = spark.createDataFrame([("s", p, p) for p in range(1, 8)] + [("t", 1, 100), ("t", 2, 101)], "source string, page int, vec_id long")
+    batched = V.in_batches(rows, "source", "page", most=3)
+    assert sorted((r["source"], r["page"], r["batch_no"]) for r in batched.collect())[:7] == [("s", p, (p - 1) // 3 + 1) for p in range(1, 8)]
+    vectors = spark.createDataFrame([(i, [1.0, 2.0]) for i in (1, 2, 3, 4, 6, 7, 100)] + [(101, [1.0]), (5, None)], "vec_id long, embedding array<double>")
+    report = V.batch_report(batched, vectors, "vec_id", "source")
+    assert sorted(tuple(r) for r in report.collect()) == [("s", 1, 3, 0, 3, None), ("s", 2, 3, 1, 0, "missing vectors"), ("s", 3, 1, 0, 1, None), ("t", 1, 2, 0, 0, "mixed lengths")]
+    assert tuple(V.batch_totals(report).first()) == (4, 2, 9, 4)
+    assert tuple(V.batch_totals(report.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_an_append_reads_the_folders_it_touches(spark, tmp_path):
+    """A second, small append opens few of the store's files; a batch of the ledger opens none."""
+    at = str(tmp_path / "store")
+    chunks = spark.range(400).selectExpr("sha2(string(id), 256) as chunk_id", "string(id) as source", "1 as page", "1 as chunk_no", "'t' as text")
+    S.append_chunks(chunks, at, batch="first")
+    few = chunks.where("source in ('5', '6', '400')").unionByName(chunks.where("source = '7'").withColumn("chunk_id", F.sha2(F.lit("new"), 256)))
+    touched = {r["chunk_id"][:1] for r in few.collect()}
+    there = spark.read.schema("chunk_id string, folder string").parquet(at).where(F.col("folder").isin(sorted(touched))).select("chunk_id", F.input_file_name().alias("f"))
+    read = {r["f"].split("folder=")[1][0] for r in there.collect()}
+    assert len(touched) <= 3 and read <= touched and "PartitionFilters: [folder" in there._jdf.queryExecution().executedPlan().toString()
+    S.append_chunks(few, at, batch="second")
+    assert S.read_store(spark, at).count() == 401
+    S.append_chunks(chunks.withColumn("chunk_id", F.sha2(F.concat("chunk_id", F.lit("x")), 256)), at, batch="first")
+    assert S.read_store(spark, at).count() == 401 and S.read_store(spark, at).columns == ["chunk_id", "source", "page", "chunk_no", "text"]
+
+
+def test_requests_are_sent_again(spark):
+    requests = spark.createDataFrame([(i, f"prompt {i}") for i in "abcdef"], "request_id string, prompt string")
+    events = [("a", "sent"), ("a", "answered"), ("b", "sent"), ("b", "failed"), ("c", "sent"), *[("d", e) for e in ("sent", "failed") * 3], ("e", "sent"), ("e", "failed"), ("e", "sent"), ("x", "sent")]
+    ledger = spark.createDataFrame(events, "request_id string, event string")
+    assert {r["request_id"]: r["state"] for r in P.request_state(requests, ledger).collect()} == {"a": "answered", "b": "retry", "c": "pending", "d": "given_up", "e": "pending", "f": "new"}
+    assert sorted(r["prompt"] for r in P.requests_to_send(requests, ledger).collect()) == ["prompt b", "prompt f"]
+    back = P.answered_events(requests, spark.createDataFrame([("a", '{"x": 1}'), ("b", "no"), ("c", None), ("z", "{}")], "request_id string, response string"))
+    assert sorted(tuple(r) for r in back.collect()) == [("a", "answered"), ("b", "failed"), ("c", "failed")]
+
+
+def test_texts_of_pages_nobody_cites_stay(spark):
+    pages = spark.createDataFrame([("s", p, f"text {p}") for p in range(50)], "source string, page int, text string")
+    findings = spark.createDataFrame([("s", 1, "text 3", [3, 99]), ("s", 2, "zzz", [4])], "source string, finding int, excerpt string, pages array<int>")
+    out = P.evidence_check(findings, pages)
+    assert sorted((r["finding"], r["page"], r["verdict"]) for r in out.collect()) == [(1, 3, "ok"), (1, 99, "no_page"), (2, 4, "not_on_page")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_a_path_without_papers_is_refused(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    with pytest.raises(ValueError, match="neither"):
+        S.require_papers(S.list_papers(spark, str(tmp_path)), str(tmp_path))
+
+
+def test_late_turns_wait_for_earlier_ones(spark, tmp_path):
+    """Micro-batches out of order, a turn that comes twice, and a gap that is never filled."""
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(20)]
+    late = [turns[10:20], turns[0:3] + turns[12:14], turns[3:10], [(2, 1, "user", "early")]]
+    for number, rows in enumerate(late):
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    G.stream_chat_memory(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = {r["turn"]: r["history"] for r in spark.read.parquet(f"{tmp_path}/out").where("conv_id = 1").collect()}
+    assert out == {t: "\n".join(f"{'user' if s % 2 == 0 else 'assistant'}: m{s}" for s in range(max(0, t - 6), t)) for t in range(0, 20, 2)}
+    assert spark.read.parquet(f"{tmp_path}/out").where("conv_id = 2").count() == 0
