@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,8 @@ def _dominated(filling: tuple[int, ...], other: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(counts: np.ndarray, room: int, breadth: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the lengths left, least waste first.
-
-    Best fit itself, every single length and pair, and pairs behind the largest lengths,
-    each completed by best fit; of those, ``breadth`` at most.
-    """
+def best_fits(counts: np.ndarray, room: int, many: int = 6) -> list[tuple[int, ...]]:
+    """A few fillings of ``room`` to descend by, least waste first: the exact single and pairs, or else best fit behind each of the best pairs."""
     fit = _largest_up_to(counts)
     if not fit[room]:
         return [()]
@@ -65,87 +63,128 @@ def fillings(counts: np.ndarray, room: int, breadth: int) -> list[tuple[int, ...
             left -= x
         return tuple(sorted(out, reverse=True))
 
-    def pairs(inside: int, many: int) -> list[tuple[int, int]]:
-        first = np.flatnonzero(counts[: inside + 1])
-        second = fit[np.minimum(inside - first, first)]
-        alone = (second == first) & (counts[first] < 2)
-        second = np.where(alone, fit[np.maximum(first - 1, 0)], second)
-        total = np.where(second > 0, first + second, 0)
-        best = np.argsort(-total, kind="stable")[:many]
-        return [(int(first[i]), int(second[i])) for i in best if second[i]]
-
-    two = pairs(room, breadth)
+    first = np.flatnonzero(counts[: room + 1])
+    second = fit[np.minimum(room - first, first)]
+    second = np.where((second == first) & (counts[first] < 2), fit[np.maximum(first - 1, 0)], second)
+    total = np.where(second > 0, first + second, 0)
+    two = [(int(first[i]), int(second[i])) for i in np.argsort(-total, kind="stable")[:many] if second[i]]
     exact = [(room,)] * bool(counts[room]) + [p for p in two if sum(p) == room]
-    if exact:  # nothing wastes less, and what wastes as little with more items can wait
-        return exact[:breadth]
-    found = {complete(())} | {complete(p) for p in two}
-    for big in np.flatnonzero(counts[: room + 1])[::-1][:breadth].tolist():
-        counts[big] -= 1
-        behind = pairs(room - big, 1) if counts[: room - big + 1].any() else []
-        counts[big] += 1
-        found.update(complete((big, *p)) for p in behind if counts[big] > p.count(big))
-    out: list[tuple[int, ...]] = []
-    for f in sorted(found, key=lambda f: (-sum(f), len(f), tuple(-x for x in f))):
-        if len(out) == breadth or (out and sum(out[0]) == room > sum(f)):
-            break
-        if sum(f) <= room and not any(_dominated(f, g) for g in out):
-            out.append(f)
-    return out
+    found = exact or {complete(())} | {complete(p) for p in two}
+    return sorted(found, key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))[:many]
 
 
-def bin_completion(counts: np.ndarray, capacity: int, breadth: int = 6, nodes: int = 500) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences take each, covering ``counts`` exactly.
+def maximal_fillings(counts: np.ndarray, room: int, spend) -> Iterator[tuple[int, ...]]:
+    """Every filling of ``room`` that no length left could be added to, the larger lengths first.
 
-    Depth first: the largest length left opens a sequence, its fillings are tried least
-    waste first and repeated as often as the counts allow. A branch ends when the waste
-    so far leaves no chance of beating the incumbent, and the first descent (best fit
-    throughout) is the first incumbent. The search stops at the lower bound, or after
-    ``nodes`` patterns were tried beyond the first descent.
+    ``spend`` is called at each step and ends the enumeration when it gives False.
     """
-    counts = np.asarray(counts, dtype=np.int64).copy()
-    total = int((np.arange(len(counts)) * counts).sum())
-    lower = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    best_bins, spent = None, 0
-
-    def options(left: np.ndarray) -> tuple[int, list[tuple[int, ...]]]:
-        large = int(np.flatnonzero(left)[-1])
-        left[large] -= 1
-        out = fillings(left, capacity - large, breadth)
-        left[large] += 1
-        return large, out
+    lengths = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    many = [int(counts[x]) for x in lengths]
+    behind = np.cumsum([x * n for x, n in zip(lengths, many, strict=True)][::-1])[::-1].tolist() + [0]
+
+    def further(at: int, left: int, chosen: tuple[int, ...], skipped: int) -> Iterator[tuple[int, ...]]:
+        """``skipped``: the least length that more of could have been taken; what is left at the end must be less."""
+        while left - behind[at] < skipped and spend():
+            while at < len(lengths) and lengths[at] > left:
+                at += 1
+            if at == len(lengths):
+                if left < skipped:
+                    yield chosen
+                return
+            x, most = lengths[at], min(many[at], left // lengths[at])
+            for k in range(most, 0, -1):
+                yield from further(at + 1, left - k * x, chosen + (x,) * k, min(skipped, x) if k < many[at] else skipped)
+            at, skipped = at + 1, min(skipped, x)  # none of it
+
+    yield from further(0, room, (), room + 1)
+
+
+def fillings(counts: np.ndarray, room: int, spend) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` from the lengths left: first a few best fits, then all others, about by waste."""
+    given: list[tuple[int, ...]] = []
+    rest = maximal_fillings(counts, room, spend)
+    block = best_fits(counts, room)
+    while block:
+        for f in block:
+            # a comparison takes about as long as so many steps
+            if f not in given and not any(_dominated(f, g) for g in given if spend(1 + len(f) * len(g) // 8)):
+                given.append(f)
+                yield f
+        block = sorted(islice(rest, 256), key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: for tokens, and for lengths of which no two share one, with what they leave no room for."""
+    counts = np.asarray(counts, dtype=np.int64)
+    lengths = np.arange(len(counts))
+    best = -(-int((lengths * counts).sum()) // capacity)
+    for small in np.unique(np.append(np.flatnonzero(counts[: capacity // 2 + 1]), 0)).tolist():
+        alone = int(counts[capacity - small + 1 :].sum())
+        middle = lengths > capacity // 2
+        middle[capacity - small + 1 :] = False
+        some = (lengths >= max(small, 1)) & (lengths <= capacity // 2)
+        room = int((counts * (capacity - lengths))[middle].sum())
+        best = max(best, alone + int(counts[middle].sum()) + max(0, -(-(int((counts * lengths)[some].sum()) - room) // capacity)))
+    return best
 
-    # one frame: counts before it, its largest length, fillings not tried yet, waste and bins before it
-    path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[tuple[np.ndarray, int, list, int, int]] = []
 
-    def push(left: np.ndarray, waste: int, bins: int) -> None:
-        large, out = options(left)
-        stack.append((left, large, out[::-1], waste, bins))
+def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 5_000) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths and how many sequences take each, covering ``counts`` exactly.
 
+    Depth first: the largest length left opens a sequence, and its undominated fillings are
+    tried, each as often as the counts allow and once. A branch ends when the waste so far
+    leaves no chance of beating the incumbent; the first descent (best fit throughout) is
+    the first incumbent. The search stops at :func:`lower_bound`, or when all is tried, or
+    after ``nodes`` patterns beyond the first descent, or forty steps of enumeration for
+    each of them; then the packing may be short of the best by what :func:`gap` says at most.
+    """
+    counts = np.asarray(counts, dtype=np.int64).copy()
+    total = int((np.arange(len(counts)) * counts).sum())
     if not total:
         return []
-    push(counts, 0, 0)
+    lower = lower_bound(counts, capacity)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    best_bins, spent, steps = None, 0, 0
+
+    def spend(many: int = 1) -> bool:
+        nonlocal steps
+        steps += many
+        return steps <= 40 * nodes
+
+    def options(left: np.ndarray, large: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        inner = left.copy()
+        inner[large] -= 1
+        for f in fillings(inner, capacity - large, spend):
+            filling = (large, *f)
+            lengths, need = np.unique(filling, return_counts=True)
+            times = int((left[lengths] // need).min())
+            yield filling, times
+            if times > 1:
+                yield filling, 1
+
+    # one frame: counts before it, what is not tried yet, waste and bins before it
+    path: list[tuple[tuple[int, ...], int]] = []
+    stack: list[tuple[np.ndarray, Iterator, int, int]] = [(counts, options(counts, int(np.flatnonzero(counts)[-1])), 0, 0)]
     while stack:
-        left, large, untried, waste, bins = stack[-1]
-        if not untried or (best is not None and spent > nodes):
+        left, untried, waste, bins = stack[-1]
+        step = None if best is not None and (spent > nodes or steps > 40 * nodes) else next(untried, None)
+        if step is None:
             stack.pop()
             if path:
                 path.pop()
             continue
-        filling = (large, *untried.pop())
-        lengths, need = np.unique(filling, return_counts=True)
-        times = int((left[lengths] // need).min())
+        filling, times = step
         new_waste = waste + times * (capacity - sum(filling))
         if best_bins is not None:
             spent += 1
             if new_waste > (best_bins - 1) * capacity - total:
                 continue
+        lengths, need = np.unique(filling, return_counts=True)
         rest = left.copy()
         rest[lengths] -= need * times
         path.append((filling, times))
         if rest.any():
-            push(rest, new_waste, bins + times)
+            stack.append((rest, options(rest, int(np.flatnonzero(rest)[-1])), new_waste, bins + times))
             continue
         if best_bins is None or bins + times < best_bins:
             best, best_bins = list(path), bins + times
@@ -155,6 +194,11 @@ def bin_completion(counts: np.ndarray, capacity: int, breadth: int = 6, nodes: i
     return best
 
 
+def gap(patterns: list[tuple[tuple[int, ...], int]], counts: np.ndarray, capacity: int) -> tuple[int, int]:
+    """(sequences of a packing, sequences that any packing needs)."""
+    return sum(t for _, t in patterns), lower_bound(counts, capacity)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Token counts of whole texts, cut into pieces only where longer than ``capacity``.
 
@@ -199,7 +243,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in out.items()}
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, breadth: int = 6, nodes: int = 500) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, nodes: int = 5_000) -> DataFrame:
     """Place every document in sequences of at most ``capacity`` tokens.
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id,
@@ -214,7 +258,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in cut.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[length] = n
-    where = spark.sparkContext.broadcast(slots(bin_completion(counts, capacity, breadth, nodes)))
+    where = spark.sparkContext.broadcast(slots(bin_completion(counts, capacity, nodes)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     ranked = cut.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank_in_part")).alias("rank"))

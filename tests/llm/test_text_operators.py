@@ -150,7 +150,7 @@ def best_possible(lengths, capacity):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=12))
 def test_bin_completion_against_brute_force(lengths):
     counts = np.bincount(lengths, minlength=21)
     patterns = op2_packing.bin_completion(counts, 20)
@@ -160,7 +160,30 @@ def test_bin_completion_against_brute_force(lengths):
         for x in pattern:
             left[x] -= times
     assert not left.any()
-    assert sum(t for _, t in patterns) <= best_possible(lengths, 20) + (len(lengths) > 7)
+    assert sum(t for _, t in patterns) == best_possible(lengths, 20)
+
+
+def test_pieces_that_no_pair_starts_right():
+    """Five sequences by best fit behind every single length and pair; four are possible."""
+    lengths = [9, 13, 14, 15, 16, 18, 18, 21, 23, 23, 25]
+    patterns = op2_packing.bin_completion(np.bincount(lengths, minlength=51), 50)
+    assert op2_packing.gap(patterns, np.bincount(lengths, minlength=51), 50) == (4, 4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=0, max_size=9), st.integers(1, 12))
+def test_all_maximal_fillings_are_enumerated(lengths, room):
+    counts = np.bincount(lengths, minlength=13)
+    wanted = set()
+    for mask in range(1 << len(lengths)):
+        taken = [x for i, x in enumerate(lengths) if mask >> i & 1]
+        rest = [x for i, x in enumerate(lengths) if not mask >> i & 1]
+        if sum(taken) <= room and all(sum(taken) + x > room for x in rest):
+            wanted.add(tuple(sorted(taken, reverse=True)))
+    found = list(op2_packing.maximal_fillings(counts, room, lambda many=1: True))
+    assert set(found) == wanted and len(found) == len(wanted)
+    kept = set(op2_packing.fillings(counts, room, lambda many=1: True))
+    assert kept <= wanted and all(any(op2_packing._dominated(f, g) for g in kept) for f in wanted)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
