@@ -26,22 +26,27 @@ def _with_words(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, words(F.col("text")).alias("ws"))
 
 
-def _windows(ws: Column, width: int, of) -> Column:
-    """``of`` each run of ``width`` words; of the whole sequence where there are fewer; none without words."""
+def _windows(ws: Column, width: int, of, short: tuple[int, ...] = ()) -> Column:
+    """``of`` each run of ``width`` words, and of each of the ``short`` lengths; of the whole sequence where there are fewer; none without words."""
     n = F.size(ws)
-    return (
-        F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), lambda i: of(*(F.get(ws, i + k) for k in range(width)))))
-        .when(n > 0, F.array(of(*(F.get(ws, F.lit(k)) for k in range(width)))))
-        .otherwise(F.array().cast(f"array<{'long' if of is F.xxhash64 else 'string'}>"))
-    )
+    runs = lambda size: F.transform(F.sequence(F.lit(0), n - size), lambda i: of(*(F.get(ws, i + k) for k in range(size))))
+    none = F.array().cast(f"array<{'long' if of is F.xxhash64 else 'string'}>")
+    whole = F.when(n >= width, runs(width)).when(n > 0, F.array(of(*(F.get(ws, F.lit(k)) for k in range(width))))).otherwise(none)
+    return F.concat(whole, *(F.when(n > size, runs(size)).otherwise(none) for size in short)) if short else whole
 
 
-def _hashes(ws: Column, width: int) -> Column:
-    return _windows(ws, width, F.xxhash64)
+def _hashes(ws: Column, width: int, short: tuple[int, ...] = ()) -> Column:
+    return _windows(ws, width, F.xxhash64, short)
 
 
-def _texts(ws: Column, width: int) -> Column:
-    return _windows(ws, width, lambda *w: F.concat_ws(" ", *w))
+def _texts(ws: Column, width: int, short: tuple[int, ...] = ()) -> Column:
+    return _windows(ws, width, lambda *w: F.concat_ws(" ", *w), short)
+
+
+def _short_lengths(items: DataFrame, width: int) -> tuple[int, ...]:
+    """Numbers of words below ``width`` that items have: at most ``width`` - 1 rows."""
+    n = F.size(words(F.col("text")))
+    return tuple(sorted(r["n"] for r in items.select(n.alias("n")).where((F.col("n") > 0) & (F.col("n") < width)).distinct().collect()))
 
 
 def sketches(items: DataFrame, width: int, percent: int) -> DataFrame:
@@ -61,8 +66,9 @@ def sketches(items: DataFrame, width: int, percent: int) -> DataFrame:
 
 def _contained(docs: DataFrame, keys: list[str], items: DataFrame, width: int, percent: int) -> DataFrame:
     """As :func:`contained_items`, for documents that ``keys`` tell apart; the first may be null."""
+    short = _short_lengths(items, width)
     sketch = written(sketches(items, width, percent).dropDuplicates(["item_id", "h"]), "sketch").withColumnRenamed("h", "shingle_hash")
-    shingles = _with_words(docs, *keys).select(*keys, F.explode(_hashes(F.col("ws"), width)).alias("shingle_hash"))
+    shingles = _with_words(docs, *keys).select(*keys, F.explode(_hashes(F.col("ws"), width, short)).alias("shingle_hash"))
     hits = shingles.join(small(sketch), "shingle_hash").distinct()
     found = written(hits.groupBy(*keys, "item_id").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select(*keys, "item_id"), "candidates")
 
@@ -72,7 +78,7 @@ def _contained(docs: DataFrame, keys: list[str], items: DataFrame, width: int, p
     sizes = of_items.groupBy("item_id").agg(F.count("*").alias("n_item"))
     ids = written(found.select(*(F.col(k).alias(f"{k}_found") for k in keys)).distinct(), "found")
     same = [F.col(k).eqNullSafe(F.col(f"{k}_found")) for k in keys]
-    of_docs = _with_words(docs.join(small(ids), same, "left_semi"), *keys).select(*keys, F.explode(F.array_distinct(_texts(F.col("ws"), width))).alias("shingle"))
+    of_docs = _with_words(docs.join(small(ids), same, "left_semi"), *keys).select(*keys, F.explode(F.array_distinct(_texts(F.col("ws"), width, short))).alias("shingle"))
     shared = of_docs.join(small(of_items), "shingle").distinct().groupBy(*keys, "item_id").agg(F.count("*").alias("n_shared"))
     out = shared.join(sizes, "item_id").where(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return out.select(*keys, "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
@@ -82,7 +88,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     """(doc_id, item_id, n_item, n_shared, containment) where a document holds at least ``percent`` % of an item.
 
     Containment is the share of the item's distinct ``width``-word shingles that are in
-    the document's; a text of fewer words has its whole sequence as one shingle. Texts
+    the document's; a text of fewer words has its whole sequence as one shingle. An item of
+    fewer words is looked for as a run of so many words anywhere in a document. Texts
     without words, null or empty, match nothing. Rows that repeat an item are one item;
     rows that repeat a doc_id are one document, as are null doc_ids; items with a null
     item_id are left out. Whole texts are
@@ -110,8 +117,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM d),
+ds AS (SELECT DISTINCT doc_id, unnest(list_concat(CASE WHEN len(ws) > 4 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [] END,
+  flatten(list_transform((SELECT coalesce(list(DISTINCT len(ws)) FILTER (len(ws) BETWEEN 1 AND 4), []) FROM b), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' ')))))) AS s FROM d),
 bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
   ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM b),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1),

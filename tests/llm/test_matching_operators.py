@@ -206,3 +206,27 @@ def test_registered_spans(spark, sf):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b.startswith(k + ":") for b in base) for k in op6_pii.KINDS]
         assert set(base) <= set(r.spans.split(",")) | {""}
+
+
+def test_short_items_inside_long_documents(spark):
+    """Items of one to four words are found as runs of their own length, at every place of a text."""
+    import re
+
+    from scriptorium.llm import op10_decontaminate as D
+
+    texts = ["so alpha beta gamma delta epsilon", "Alpha, beta; GAMMA", "gamma alpha beta", "one two three four five six seven", "nothing here at all to see", "beta", "", None, "x " * 3000 + "alpha beta gamma"]
+    items = {1: "alpha beta gamma", 2: "beta", 3: "four five six seven", 4: "one two three four five six", 5: "", 6: "six seven eight"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"]) for r in D.contained_items(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect())
+    cut = lambda t: re.findall(r"\w+", (t or "").lower())
+    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    wanted = []
+    for d, text in enumerate(texts):
+        for i, item in items.items():
+            w = cut(item)
+            own = runs(w, min(5, len(w))) if w else set()
+            if own and 100 * len(own & runs(cut(text), min(5, len(w)))) >= 80 * len(own):
+                wanted.append((d, i))
+    assert found == sorted(wanted) and len(wanted) == 10
+    kept = [r["doc_id"] for r in D.drop_contaminated(docs, spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")).collect()]
+    assert sorted(kept) == [2, 3, 4, 5, 6, 7]
