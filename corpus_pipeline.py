@@ -18,29 +18,37 @@ from scriptorium.llm.op10_decontaminate import drop_contaminated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go: those that it scores below 0.7."""
+    """Documents that the quality classifier rejects go: those that it scores below 0.7.
+
+    Null and empty texts are scored as texts without words; repeated rows share a score,
+    and rows with null or repeated doc_ids are judged each by its own text.
+    """
     labels = table(spark, sf_dir, "labels").where(remainder(4) != 2)
     return keep_good(docs, labels.select("doc_id", F.col("quality").cast("int").alias("label")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: shingles of five words, similarity 0.8."""
+    """One document of each near-duplicate group stays: shingles of five words, similarity 0.8.
+
+    Null and empty texts are like nothing and stay; of equal rows one stays; rows with null
+    or repeated doc_ids are told apart by their texts.
+    """
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts stay, each row is judged by its own text."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become the names of their kinds."""
+    """Spans of personal data become the names of their kinds; null and empty texts stay as they are, and so do all rows."""
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 2048, filled by best-fit packing."""
+    """Token sequences of 2048, filled by best-fit packing; a null text is an end mark alone, equal rows are packed each."""
     return pack_documents(docs, word_bpe_path())
 
 
@@ -57,6 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all kept documents' pieces; an empty table gives no rows, columns beyond doc_id and text pass through the stages."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
