@@ -263,3 +263,17 @@ def test_late_turns_wait_for_earlier_ones(spark, tmp_path):
     out = {r["turn"]: r["history"] for r in spark.read.parquet(f"{tmp_path}/out").where("conv_id = 1").collect()}
     assert out == {t: "\n".join(f"{'user' if s % 2 == 0 else 'assistant'}: m{s}" for s in range(max(0, t - 6), t)) for t in range(0, 20, 2)}
     assert spark.read.parquet(f"{tmp_path}/out").where("conv_id = 2").count() == 0
+
+
+def test_a_gap_is_given_up_after_patience(spark, tmp_path):
+    import time
+
+    rows = [(2, 1, "user", "early"), (2, 2, "assistant", "a"), (2, 4, "user", "q")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{tmp_path}/in/*")
+    query = G.stream_chat_memory(stream, patience=500).writeStream.format("memory").queryName("patient").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    until = time.time() + 90
+    while spark.table("patient").count() < 2 and time.time() < until:
+        time.sleep(1)
+    query.stop()
+    assert sorted(tuple(r) for r in spark.table("patient").collect()) == [(2, 1, 0, ""), (2, 4, 2, "user: early\nassistant: a")]
