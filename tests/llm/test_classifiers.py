@@ -146,3 +146,25 @@ def test_quality_stage_keeps_clean_documents(spark):
     kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).select("doc_id").collect()}
     clean = [r.doc_id for r in table(spark, SF, "labels").where("quality = 1").collect()]
     assert sum(i in kept for i in clean) >= 0.97 * len(clean)
+
+
+def test_discriminant_against_log_densities(spark):
+    """Sums over partitions, shrinkage and factors against densities written out with determinants and inverses."""
+    from scriptorium.llm import op5_quality as O
+
+    rng, d = np.random.default_rng(8), len(O.NAMES)
+    x = np.concatenate([rng.standard_normal((150, d)) @ rng.standard_normal((d, d)), 1 + rng.standard_normal((90, d)) * np.linspace(0.01, 3, d)])
+    y = np.repeat([0, 1], [150, 90])
+    stats = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>").repartition(5)
+    model = O.fit(stats, spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, label int"), shrinkage=0.2)
+
+    def log_density(z, of):
+        mean, cov = of.mean(axis=0), np.cov(of.T, bias=True)
+        cov = 0.8 * cov + 0.2 * np.diag(np.maximum(np.diag(cov), 1e-3)) + 1e-6 * np.eye(d)
+        away = z - mean
+        return np.log(len(of)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ni,ij,nj->n", away, np.linalg.inv(cov), away)
+
+    wanted = np.clip(log_density(x, x[y == 1]) - log_density(x, x[y == 0]), -200, 200)
+    assert np.allclose(model.difference(x), wanted, rtol=1e-6, atol=1e-6)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.clip(model.slope * wanted + model.offset, -30, 30)))) and model.slope > 0
+    assert ((model.score(x) >= 0.5) == (y == 1)).mean() > 0.9
