@@ -1,8 +1,11 @@
 """Which lines of a page the windows choose, and which containers they may leave out."""
 
 import random
+import re
 import time
 
+import pyarrow.parquet as pq
+
 from scriptorium.llm import op1_html
 
 LONG = "A sentence that is part of a long text. " * 12
@@ -61,3 +64,70 @@ def test_odd_markup_takes_linear_time():
         op1_html.main_text(piece * (1_000_000 // len(piece)) + end)
         assert time.time() - began < 20, piece
     assert op1_html.main_text(f"<p>{LONG}</p><p title=\"open>more words</p><p>last words</p>") == f"{WANT}\nmore words\nlast words"
+
+
+def test_names_of_sections_are_weak_evidence():
+    """Sections of an article may be named like page parts; their text decides, but reader comments go."""
+    for name in ("related-work", "legal", "search-algorithm", "share", "reply", "notice-of-results"):
+        assert op1_html.main_text(f"<article><p>{LONG}</p><section class={name}><h2>H</h2><p>{LONG}</p></section></article>") == f"{WANT}\nH\n{WANT}", name
+        links = "<li><a href=x>A link to a page</a></li>" * 4
+        assert op1_html.main_text(f"<article><p>{LONG}</p><div class={name}><ul>{links}</ul></div><p>End.</p></article>") == f"{WANT}\nEnd.", name
+        assert op1_html.main_text(f"<article><p>{LONG}</p></article><div class={name}><p>{LONG}</p></div>") == WANT, name
+    for name in ("comments", "ad", "cookie-notice", "notice", "newsletter"):
+        assert op1_html.main_text(f"<article><p>{LONG}</p><section class={name}><p>{LONG}</p></section></article>") == WANT, name
+
+
+def test_buttons_in_running_text_stay():
+    assert op1_html.main_text(f"<article><p>{LONG}</p><p>Press <button class=b>Save</button> to save.</p><button>Share</button></article>") == f"{WANT}\nPress Save to save."
+    assert op1_html.main_text(f"<article><p>{LONG}</p><ul><li><button>Like</button></li></ul><p>End <button>open</p><p>More.</p></article>") == f"{WANT}\nEnd open\nMore."
+
+
+def test_lines_of_links_and_teasers():
+    links = "<li><a href=x>Another page</a></li>"
+    page = f"<article><p>{LONG}</p><p>End.</p><ul>{{}}</ul></article>"
+    assert op1_html.main_text(page.format(links * 5)) == f"{WANT}\nEnd."
+    assert op1_html.main_text(page.format(links)) == f"{WANT}\nEnd.\nAnother page"
+    assert op1_html.main_text(f"<article><p>A.</p><ul>{links * 5}</ul><p>{LONG}</p></article>") == "\n".join(["A."] + ["Another page"] * 5 + [WANT])
+    card = "<article><h3><a href=x>Title of another</a></h3><p>A teaser.</p></article>"
+    assert op1_html.main_text(f"<article><p>{LONG}</p></article>{card}<article><p>End.</p></article>") == f"{WANT}\nEnd."
+    assert op1_html.main_text(card) == "Title of another\nA teaser."
+    assert op1_html.main_text(f"<div><div>{links}</div><div>{links}</div></div><div>© all</div>") != ""
+
+
+def _bare(page):
+    """The page without what names its parts: containers are all div, and have no class."""
+    page = re.sub(r"(</?)(?:article|main|nav|header|footer|aside|section|ul|li)\b", r"\1div", page or "")
+    return re.sub(r"\s(?:class|id)=\"[^\"]*\"", "", page)
+
+
+def test_windows_decide_on_pages_without_names(sf, monkeypatch):
+    """Article texts of the tables are found when nothing is named; a whole page in place of windows finds fewer."""
+    pages = [p["html"] for p in pq.read_table(f"{sf}/pages.parquet", columns=["html"]).to_pylist()]
+    want = [op1_html.main_text(p) for p in pages]
+    right = sum(op1_html.main_text(_bare(p)) == w for p, w in zip(pages, want, strict=True))
+    assert right >= 0.95 * len(pages)
+    monkeypatch.setattr(op1_html, "candidates", lambda sizes, window: [(0, len(sizes))] if any(sizes) else [])
+    monkeypatch.setattr(op1_html, "surge", lambda sizes, window, start, stop, rise: start)
+    assert sum(op1_html.main_text(_bare(p)) == w for p, w in zip(pages, want, strict=True)) < right
+
+
+def test_articles_against_brute_force(sf):
+    """Whole texts of the tables' pages, from their article element by patterns alone."""
+    import html
+
+    for p in pq.read_table(f"{sf}/pages.parquet", columns=["html"]).to_pylist():
+        inner = re.search(r"<article[^>]*>(.*?)</article>", p["html"] or "", re.S)
+        if inner:
+            body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inner[1], flags=re.S)
+            body = re.sub(r"<br\b[^>]*>", " ", body)
+            body = re.sub(r"</?(?:p|h[1-6]|div|ul|ol|li|pre|blockquote|section|table|tr|td)\b[^>]*>", "\0", body)
+            lines = [" ".join(html.unescape(re.sub(r"</?[a-zA-Z][^>]*>", "", x)).split()) for x in body.split("\0")]
+            assert op1_html.main_text(p["html"]) == "\n".join(x for x in lines if x)
+
+
+def test_surge_against_brute_force():
+    rnd = random.Random(2)
+    for _ in range(300):
+        sizes, window = [rnd.choice((0, 3, 5, 90)) for _ in range(rnd.randrange(1, 30))], rnd.randrange(1, 6)
+        sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+        assert op1_html.surge(sizes, window, 0, len(sizes), 0.25) == next(i for i, n in enumerate(sums) if n >= 0.25 * max(sums))
