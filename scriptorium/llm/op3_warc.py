@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from datetime import UTC, datetime
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import scratch_path, table, written
 
 _END = "\r\n\r\n"
+#: Pages tell no headers of their own; a response has these.
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 
 
 def base32_sha1(payload) -> F.Column:
@@ -49,57 +52,84 @@ def revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
     return heads.join(shared, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to", "first_url").distinct()
 
 
-def _urn(page_id, url, digest) -> F.Column:
-    """A record's name: a UUID made of its page, target and payload, so that a revisit can name its response."""
-    x = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("none")), digest, F.coalesce(url, F.lit(""))))
+def decisions(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """What a record must know beyond its own page: page_id, digest, refers_to, first_url, first_copied, copied.
+
+    Rows are the revisits, and the pages that come with the same payload more than once
+    (``copied``); ``first_copied`` says so of a revisit's response. Other pages have none.
+    """
+    copies = heads.where("page_id IS NOT NULL").groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("page_id", "digest", F.lit(True).alias("copied"))
+    firsts = copies.select(F.col("page_id").alias("refers_to"), "digest", F.col("copied").alias("first_copied"))
+    return revisits(heads, least_bytes).join(firsts, ["refers_to", "digest"], "left").join(copies, ["page_id", "digest"], "full_outer")
+
+
+def _urn(writing: str, page_id, url, digest) -> F.Column:
+    """A response's name: a UUID made of this writing, its page, target and payload, so that a revisit can name it."""
+    x = F.md5(F.concat_ws("|", F.lit(writing), page_id.cast("string"), digest, F.coalesce(url, F.lit(""))))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(x, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None, most_records: int = 20_000) -> None:
-    """A WARC record for each page: a response with its payload, or a revisit without one.
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None, most_records: int = 5_000, most_bytes: int = 1 << 30) -> None:
+    """A WARC record for each page: a response (an HTTP message) with its payload, or a revisit without one.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, the one with the
     smallest page_id is the response. Null html is an empty payload. Rows that repeat a
     response's page_id and payload are responses too; a null page_id is a response.
     Payloads are shuffled once at most, to meet their decision; a partition is a file, or
-    several of at most ``most_records`` records each, so that each can be read as one row.
-    Headers are fresh: record ids of their own, ``date`` (by default the time of writing)
-    and, in revisits, the id, target and date of the response. Rows that repeat a page_id,
-    url and payload repeat its record. No rows give no records; other columns are ignored.
+    several of at most ``most_records`` records each, and of at most ``most_bytes`` bytes
+    of payload before compression, so that each can be read as one row. Pages longer than
+    an even share of that go to files of their own, with so many fewer records; only then
+    are pages read once more. One payload above ``most_bytes`` is a file by itself.
+    Headers are fresh: record ids that no other record or writing has, ``date`` (by default
+    the time of writing) and, in revisits, the target and date of the response, and its id
+    unless its page_id comes with that payload more than once. No rows give no records;
+    other columns are ignored.
     """
     date = date or f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"
-    # read twice below, and cheap beside the pages it saves reading again
+    writing = uuid.uuid4().hex
+    # read again below, and cheap beside the pages it saves reading again
     heads = written(headers(pages), "warc-headers")
-    again = revisits(heads, least_bytes)
+    again = written(decisions(heads, least_bytes), "warc-decisions")
     payload = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
     joined = own.join(again, ["page_id", "digest"], "left")
     revisit = F.col("refers_to").isNotNull()
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", "")
+    fresh = F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))
+    named = F.col("page_id").isNotNull() & ~revisit & F.col("copied").isNull()
+    http = F.concat(F.lit(f"{_HTTP}\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
+    body = F.when(revisit, F.lit("")).otherwise(F.concat(http, "payload"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("page_id"), F.col("url"), F.col("digest"))),
+        F.concat(F.lit("WARC-Record-ID: "), F.when(named, _urn(writing, F.col("page_id"), F.col("url"), F.col("digest"))).otherwise(fresh)),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), clean(F.col("url"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to"), F.col("first_url"), F.col("digest")))),
+        F.when(revisit & F.col("first_copied").isNull(), F.concat(F.lit("WARC-Refers-To: "), _urn(writing, F.col("refers_to"), F.col("first_url"), F.col("digest")))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), clean(F.col("first_url")))),
         F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string")),
         F.when(revisit, F.concat(F.lit("X-Refers-To-Page-Id: "), F.col("refers_to").cast("string"))),
         F.concat(F.lit("X-Payload-Length: "), F.octet_length("payload").cast("string")),
-        F.lit("Content-Type: text/html; charset=utf-8"),
+        F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), body)
-    joined.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
+
+    def save(rows: DataFrame, most: int, mode: str) -> None:
+        rows.select(record.alias("value")).write.mode(mode).option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+    usual, longest = max(1, most_bytes // most_records), heads.agg(F.max("bytes")).first()[0] or 0
+    if longest <= usual:
+        return save(joined, most_records, "error")
+    save(joined.where(F.octet_length("payload") <= usual), most_records, "error")
+    save(joined.where(F.octet_length("payload") > usual), max(1, most_bytes // longest), "append")
 
 
 def records(chunks):
-    """Header fields and payload of each record of a gzip'd archive, from chunks of its bytes.
+    """Header fields and block (of a response, an HTTP message) of each record of a gzip'd archive, from chunks of its bytes.
 
     Records are told apart by their Content-Length alone, so a payload may hold anything.
     """
@@ -138,7 +168,7 @@ def records(chunks):
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of every record.
 
-    A response's length and digest come from its payload, and must agree with its header.
+    No archives give no rows; a null url comes back empty. A response's length and digest come from its payload, and must agree with its header.
     """
 
     def parse(batches):
@@ -151,7 +181,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 view = memoryview(content.as_buffer())
                 rows, held = [], 0
-                for f, payload in records(view[i : i + 65536] for i in range(0, len(view), 65536)):
+                for f, block in records(view[i : i + 65536] for i in range(0, len(view), 65536)):
+                    payload = block[block.find(b"\r\n\r\n") + 4 :] if block else block
                     kind, digest, size = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["X-Payload-Length"])
                     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"the payload of {f['WARC-Record-ID']} is not what its header says")

@@ -235,6 +235,30 @@ def test_warc_headers(spark):
     assert {f["X-Page-Id"] for f in again} == {"2", "3"} and all(f["WARC-Refers-To"] == first["WARC-Record-ID"] and f["WARC-Refers-To-Target-URI"] == "u1" and f["WARC-Refers-To-Date"] == first["WARC-Date"] for f in again)
 
 
+def test_warc_ids_are_fresh(spark):
+    """Repeated rows, rows without a page_id, and a second writing have ids of their own; the response is an HTTP message."""
+    rows = spark.createDataFrame([(1, "u", "same", 0), (1, "u", "same", 0), (2, "v", "same", 1), (None, "n", "x", 2), (None, "n", "x", 2), (4, "w", "two", 3), (5, "w", "two", 3)], "page_id long, url string, html string, digest int")
+    names, found = set(), []
+    for _ in range(2):
+        op3_warc.write_archives(rows, path := scratch_path(spark, "t"))
+        now = [(f, b) for r in spark.read.format("binaryFile").load(path).collect() for f, b in op3_warc.records([bytes(r.content)])]
+        names |= {f["WARC-Record-ID"] for f, _ in now}
+        found += now
+    assert len(names) == 14
+    assert all("WARC-Refers-To" not in f for f, _ in found if f.get("X-Page-Id") == "2")  # its response comes twice
+    assert all(f["WARC-Refers-To"] in names for f, _ in found if f.get("X-Page-Id") == "5")
+    assert all(b.startswith(b"HTTP/1.1 200 OK\r\n") and b.endswith(b"\r\n\r\ntwo") for f, b in found if f.get("X-Page-Id") == "4")
+
+
+def test_warc_files_are_bounded_by_bytes(spark):
+    rows = [(i, "u", f"{i}" + "x" * n) for i, n in enumerate([10] * 40 + [5_000] * 6 + [30_000])]
+    path = scratch_path(spark, "t")
+    op3_warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, most_records=20, most_bytes=20_000)
+    files = [[int(f["X-Payload-Length"]) for f, _ in op3_warc.records([bytes(r.content)])] for r in spark.read.format("binaryFile").load(path).collect()]
+    assert all(len(f) <= 20 and (sum(f) <= 20_000 or len(f) == 1) for f in files if f)
+    assert sorted((r.page_id, r.payload_bytes) for r in op3_warc.read_archives(spark, path).collect()) == [(i, len(t)) for i, _, t in rows]
+
+
 def test_warc_of_nothing(spark):
     path = scratch_path(spark, "t")
     op3_warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
