@@ -15,6 +15,10 @@ from scriptorium.sources.ranges import numbered_within
 QUERY_BLOCK = 10_000
 #: Vectors of the store that meet a block of queries at a time.
 PAGE_ROWS = 16_384
+#: Queries of several blocks that a task holds at most, and numbers of the store's vectors.
+LOT_ROWS, DEAL_NUMBERS = 40_000, 8_000_000
+#: Queries and vectors whose distances are held at a time.
+TILE = 256, 1024
 
 
 def hash_vectors(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
@@ -111,8 +115,8 @@ def distances(q: np.ndarray, e: np.ndarray, metric: str) -> np.ndarray:
     return out if metric == "sql2" else 1 - out
 
 
-class Nearest:
-    """The k nearest of what was seen so far for each query of a block."""
+class _Best:
+    """The k nearest of what was seen so far for each of a few queries."""
 
     def __init__(self, q: np.ndarray, k: int, metric: str):
         self.q, self.k, self.metric = q, k, metric
@@ -120,21 +124,35 @@ class Nearest:
         self.limit = np.full(len(q), np.inf)  # the k-th distance so far
 
     def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, 2_000_000 // max(1, len(self.q)))
-        if self.ids is None:
-            self.ids = ids[:0]
-        for at in range(0, len(vectors), step):
-            d = distances(self.q, vectors[at : at + step], self.metric)
-            i, j = np.nonzero(d <= self.limit[:, None])
-            whose, ids_, far = np.concatenate((self.whose, i)), np.concatenate((self.ids, ids[at + j])), np.concatenate((self.far, d[i, j]))
-            order = np.lexsort((ids_, far, whose))
-            whose, ids_, far = whose[order], ids_[order], far[order]
-            place = np.arange(len(whose)) - np.searchsorted(whose, whose, "left")
-            self.limit[whose[place == self.k - 1]] = far[place == self.k - 1]
-            self.whose, self.ids, self.far = (x[place < self.k] for x in (whose, ids_, far))
+        d = distances(self.q, vectors, self.metric)
+        if len(vectors) > self.k and np.isinf(self.limit).any():  # most of the first vectors go before they are sorted
+            self.limit = np.fmin(self.limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        i, j = np.nonzero(d <= self.limit[:, None])
+        if not len(i):
+            return
+        whose, ids_, far = np.concatenate((self.whose, i)), ids[j] if self.ids is None else np.concatenate((self.ids, ids[j])), np.concatenate((self.far, d[i, j]))
+        order = np.lexsort((ids_, far, whose))
+        whose, ids_, far = whose[order], ids_[order], far[order]
+        place = np.arange(len(whose)) - np.searchsorted(whose, whose, "left")
+        self.limit[whose[place == self.k - 1]] = far[place == self.k - 1]
+        self.whose, self.ids, self.far = (x[place < self.k] for x in (whose, ids_, far))
+
+
+class Nearest:
+    """The k nearest of what was seen so far for each query; distances of one tile are held at a time."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.parts = [_Best(q[at : at + TILE[0]], k, metric) for at in range(0, len(q), TILE[0])]
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for at in range(0, len(vectors), TILE[1]):
+            for part in self.parts:
+                part.see(ids[at : at + TILE[1]], vectors[at : at + TILE[1]])
 
     def found(self, names: list, kinds: tuple[pa.DataType, pa.DataType]) -> dict[str, pa.Array]:
-        return {"query_id": pa.array([names[i] for i in self.whose], kinds[0]), "vec_id": pa.array([] if self.ids is None else self.ids.tolist(), kinds[1]), "distance": pa.array(self.far)}
+        whose = [names[n * TILE[0] + i] for n, part in enumerate(self.parts) for i in part.whose]
+        ids = [x for part in self.parts if part.ids is not None for x in part.ids.tolist()]
+        return {"query_id": pa.array(whose, kinds[0]), "vec_id": pa.array(ids, kinds[1]), "distance": pa.array(np.concatenate([np.zeros(0), *(part.far for part in self.parts)]))}
 
 
 def _vectors(column, dims: int) -> np.ndarray:
@@ -174,28 +192,37 @@ def packed(rows: DataFrame, most: int, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(blocks.schema).parquet(at)
 
 
-def _tiles(pages: DataFrame, blocks: DataFrame, dims: int, k: int, metric: str, schema: str, kinds: tuple[pa.DataType, pa.DataType], lot: int = 4) -> DataFrame:
-    """Every page of the store with every block of queries, ``lot`` blocks and about one page to a task's group."""
-    lots, deals = -(-blocks.count() // lot), pages.count()
+def _tiles(pages: DataFrame, blocks: DataFrame, dims: int, k: int, metric: str, schema: str, kinds: tuple[pa.DataType, pa.DataType], query_block: int, page_rows: int) -> DataFrame:
+    """Every page of the store with every block of queries, as deals of pages that meet lots of blocks.
+
+    A page is copied once a lot and a block once a deal, so lots and deals are as large as
+    a task holds, whatever the size of a block or page; there are more deals only where the
+    cores would lack work.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    n_pages = pages.count()
+    lots = -(-blocks.count() // max(4, LOT_ROWS // query_block))
+    deals = max(-(-n_pages // max(1, DEAL_NUMBERS // (page_rows * dims))), min(n_pages, -(-2 * cores // lots)))
     of = lambda name, many: F.pmod(F.xxhash64(name), F.lit(many)).cast("int")
     all_of = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     left = pages.select(of("page", deals).alias("deal"), all_of(lots).alias("lot"), "data")
     right = blocks.select(all_of(deals).alias("deal"), of("block", lots).alias("lot"), "data")
 
     def run(page: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
-        for raw in asked.column("data"):
-            block = pa.ipc.open_stream(raw.as_buffer()).read_all().combine_chunks()
-            near = Nearest(_vectors(block.column("q").combine_chunks(), dims), k, metric)
-            for other in page.column("data"):
-                rows = pa.ipc.open_stream(other.as_buffer()).read_all()
-                for batch in rows.to_batches():
-                    near.see(np.array(batch.column("vec_id").to_pylist()), _vectors(batch.column("embedding"), dims))
-            out.append(pa.table(near.found(block.column("query_id").to_pylist(), kinds)))
-        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], kinds[0]), "vec_id": pa.array([], kinds[1]), "distance": pa.array([], pa.float64())})
+        held = [pa.ipc.open_stream(raw.as_buffer()).read_all() for raw in asked.column("data")]
+        if not held:
+            return pa.table({"query_id": pa.array([], kinds[0]), "vec_id": pa.array([], kinds[1]), "distance": pa.array([], pa.float64())})
+        block = pa.concat_tables(held).combine_chunks()
+        near = Nearest(_vectors(block.column("q").combine_chunks(), dims), k, metric)
+        for other in page.column("data"):
+            for batch in pa.ipc.open_stream(other.as_buffer()).read_all().to_batches():
+                near.see(np.array(batch.column("vec_id").to_pylist()), _vectors(batch.column("embedding"), dims))
+        return pa.table(near.found(block.column("query_id").to_pylist(), kinds))
 
     key = ["deal", "lot"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
+    # so many partitions by name: small as pages are, their work is not, and would be put together into few tasks
+    dealt = lambda rows: rows.repartition(min(deals * lots, 32 * cores), *key)
+    return dealt(left).groupBy(*key).cogroup(dealt(right).groupBy(*key)).applyInArrow(run, schema)
 
 
 def knn(queries: DataFrame, store: DataFrame, k: int = 6, metric: str = "sql2", query_block: int = QUERY_BLOCK, page_rows: int = PAGE_ROWS) -> DataFrame:
@@ -234,6 +261,6 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 6, metric: str = "sql2",
         found = store.mapInArrow(stream, schema)
     else:
         pages, blocks = packed(store, page_rows, "page"), packed(queries, query_block, "block")
-        found = _tiles(pages, blocks, dims, k, metric, schema, arrow)
+        found = _tiles(pages, blocks, dims, k, metric, schema, arrow, query_block, page_rows)
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

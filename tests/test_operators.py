@@ -277,3 +277,28 @@ def test_a_gap_is_given_up_after_patience(spark, tmp_path):
         time.sleep(1)
     query.stop()
     assert sorted(tuple(r) for r in spark.table("patient").collect()) == [(2, 1, 0, ""), (2, 4, 2, "user: early\nassistant: a")]
+
+
+def test_distances_are_held_a_tile_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    q, e = rng.normal(size=(300, 4)), rng.normal(size=(20_000, 4))
+    tracemalloc.start()
+    near = V.Nearest(q, 6, "sql2")
+    near.see(np.arange(len(e)), e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    far = np.stack([((x - e) ** 2).sum(axis=1) for x in q])
+    got = {}
+    for whose, vec in zip(*(near.found(list(range(300)), (V.pa.int64(), V.pa.int64()))[c].to_pylist() for c in ("query_id", "vec_id"))):
+        got.setdefault(whose, []).append(vec)
+    assert got == {i: np.argsort(row)[:6].tolist() for i, row in enumerate(far)}
+    assert peak < 30_000_000
+
+
+def test_small_blocks_of_queries_do_not_copy_the_store(spark):
+    store = spark.range(400).selectExpr("id as vec_id", "array(float(id % 7), float(id % 11), 1f) as embedding")
+    asked = store.where("vec_id < 200").selectExpr("vec_id as query_id", "embedding as q")
+    plan = V.knn(asked, store, 4, query_block=2, page_rows=64)._jdf.queryExecution().analyzed().toString()
+    assert "0" in re.findall(r"explode\(sequence\(0, (\d+)", plan)  # one lot, so one copy of each page
