@@ -35,6 +35,8 @@ GENERATORS = (
 CONTEXT = (r"(?i)mail|contact|write|courriel|correo", r"(?i)\bip\b|host|server|address", r"(?i)card|visa|credit|karte|carte|tarjeta", r"(?i)call|phone|tel|mobile|fax|anruf")
 
 
+#: Rows that are made of a base span, at most about.
+MADE = 16
 #: Code points of a text that are redacted at a time.
 _BLOCK = 16_384
 #: Elements that a running total is added up over at a time.
@@ -250,14 +252,13 @@ def _limit(bins: list[tuple[bool, int, int, float]], precision: float, weight: f
     return limit
 
 
-def _learn(spans: DataFrame, most: int, precision: float) -> DataFrame | None:
+def _learn(spans: DataFrame, precision: float) -> DataFrame | None:
     """Proposals outside the base that the trees accept: row, kind, start, end, text, score.
 
-    Trees learn from at most about ``most`` labelled proposals, drawn by a hash of their
-    document and place (so that the partitioning of the table changes nothing), and what
-    is made from them; every fifth, with what is made from it, is kept from them and
-    calibrates the thresholds (:func:`_limit`, but 0.5 at least). None if there is nothing to
-    tell apart.
+    Every labelled proposal is used, with what is made from it: a hash of its document and
+    place (so that the partitioning of the table changes nothing) gives every fifth to the
+    thresholds (:func:`_limit`, but 0.5 at least) and the others to the trees. Rows of equal
+    numbers are one row that weighs as many. None if there is nothing to tell apart.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -275,28 +276,30 @@ def _learn(spans: DataFrame, most: int, precision: float) -> DataFrame | None:
     told = written(rows.select("row", "c", "before", "after", "label", "free", "exact", slot.alias("slot")), "pii-told")
     # features take a large expression: few rows to a task would spend their time on setting it up
     table_ = written(_features(told), "pii-proposals", rows=told.count())
-    counts = {r["label"]: r["count"] for r in table_.groupBy("label").count().collect() if r["label"] is not None}
-    if 1.0 not in counts:
+    counts = {(r["label"], r["exact"]): r["count"] for r in table_.where("label IS NOT NULL").groupBy("label", "exact").count().collect()}
+    if all(label != 1.0 for label, _ in counts):
         return None
-    share = min(1.0, most / sum(counts.values()))
-    drawn = table_.where((F.col("slot") < int(share * 1e6)) & F.col("label").isNotNull())
+    told_ = table_.where("label IS NOT NULL")
     alone = F.col("slot") % 2 == 0  # half of them stand without context, so that it cannot decide everything
-    known = drawn.where("exact").withColumns({"t": F.col("c.text"), "d": _digits(F.col("c.text")), "before": F.when(alone, " ").otherwise(F.col("before")), "after": F.when(alone, " ").otherwise(F.col("after"))})
+    known = told_.where("exact").withColumns({"t": F.col("c.text"), "d": _digits(F.col("c.text")), "before": F.when(alone, " ").otherwise(F.col("before")), "after": F.when(alone, " ").otherwise(F.col("after"))})
     other = None
     for k in range(len(KINDS)):  # kind by kind, or the expressions outgrow a compiled method
         one = known.where(F.col("c.kind") == k).select("slot", "before", "after", F.explode(_made(k)).alias("m"))
         one = one.select("slot", F.struct(F.lit(k).alias("kind"), F.col("m.text").alias("text")).alias("c"), "before", "after", F.col("m.label").alias("label"))
         other = one if other is None else other.unionByName(one)
-    other = _features(written(other.coalesce(4), "pii-made"))
-    columns = ("slot", F.col("c.kind").alias("kind"), "label", "numbers")
-    # a bounded sample: few files, so that each round of boosting is a few tasks
-    labelled = written(drawn.select(*columns).unionByName(other.select(*columns)).coalesce(4), "pii-labelled").withColumn("features", array_to_vector("numbers"))
-    training = labelled.where("slot % 5 != 0")
+    exact = sum(n for (_, exact), n in counts.items() if exact)
+    other = _features(written(other, "pii-made", rows=MADE * exact))
+    columns = (F.col("c.kind").alias("kind"), "label", (F.col("slot") % 5 == 0).alias("held"), "numbers")
+    weighed = told_.select(*columns).unionByName(other.select(*columns)).groupBy("kind", "label", "held", "numbers").agg(F.count("*").cast("double").alias("n"))
+    # few files where there are few rows, so that each round of boosting is a few tasks
+    labelled = written(weighed, "pii-labelled")
+    labelled = written(labelled, "pii-weighed", rows=labelled.count()).withColumn("features", array_to_vector("numbers"))
+    training = labelled.where("NOT held")
     if training.groupBy("label").count().count() < 2:
         return None
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=5, maxBins=32, seed=1, cacheNodeIds=False).fit(training.select("label", "features"))
+    trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="n", maxIter=20, maxDepth=5, maxBins=32, seed=1, cacheNodeIds=False).fit(training.select("label", "features", "n"))
     score = lambda rows: trees.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    bins = score(labelled.where("slot % 5 = 0")).groupBy("kind", F.floor(F.col("score") * 50).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    bins = score(labelled.where("held")).groupBy("kind", F.floor(F.col("score") * 50).alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("good")).collect()
     accept = F.lit(False)
     for k in range(len(KINDS)):
         limit = _limit([(b["kind"] == k, b["bin"], b["n"], b["good"]) for b in bins], precision)
@@ -306,11 +309,11 @@ def _learn(spans: DataFrame, most: int, precision: float) -> DataFrame | None:
     return new.where(accept).select("row", F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end"), F.col("c.text").alias("text"), "score")
 
 
-def _search(docs: DataFrame, most: int, precision: float) -> tuple[DataFrame, DataFrame | None]:
+def _search(docs: DataFrame, precision: float) -> tuple[DataFrame, DataFrame | None]:
     """(row, doc_id, h, base, proposed) of every row, written; and by row, the proposals that stay, if any could."""
     first = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key().alias("h"), _of_kinds(base_spans(F.col("text"))).alias("base"), proposals(F.col("text")).alias("proposed"))
     spans = written(first, "pii-spans")
-    extra = _learn(spans.where(F.size("proposed") > 0), most, precision)
+    extra = _learn(spans.where(F.size("proposed") > 0), precision)
     if extra is None:
         return spans, None
     extra = written(extra.select("row", F.struct("start", "kind", "end", "text", "score").alias("a")), "pii-accepted")
@@ -323,7 +326,7 @@ def _search(docs: DataFrame, most: int, precision: float) -> tuple[DataFrame, Da
     return spans, best.groupBy("row").agg(added.alias("extra"))
 
 
-def find_spans(docs: DataFrame, most: int = 20_000, precision: float = 0.99) -> DataFrame:
+def find_spans(docs: DataFrame, precision: float = 0.99) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end, text) for every row of ``docs`` (doc_id, text).
 
     ``base`` holds what the exact rules find; ``spans`` adds the accepted proposals that
@@ -332,7 +335,7 @@ def find_spans(docs: DataFrame, most: int = 20_000, precision: float = 0.99) ->
     spans; rows with null or repeated doc_ids are searched each for itself; no rows give
     no rows; other columns are ignored.
     """
-    spans, extra = _search(docs, most, precision)
+    spans, extra = _search(docs, precision)
     if extra is None:
         return spans.select("doc_id", "base", F.col("base").alias("spans"))
     joined = spans.select("row", "doc_id", "base").join(extra, "row", "left")
@@ -353,7 +356,7 @@ def _gaps(spans: Column) -> Column:
     return _let(F.concat(spans, F.array(far).cast(_SPAN)), of)
 
 
-def redact(docs: DataFrame, most: int = 20_000, precision: float = 0.99) -> DataFrame:
+def redact(docs: DataFrame, precision: float = 0.99) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, as [EMAIL]; other columns stay.
 
     Overlapping spans become one, named after the first. Base spans are found again where
@@ -361,7 +364,7 @@ def redact(docs: DataFrame, most: int = 20_000, precision: float = 0.99) -> Data
     come by doc_id and text, so that a row gets none but its own where doc_ids are null or
     repeat. Null and empty texts stay as they are. Columns may have any names.
     """
-    found, extra = _search(docs, most, precision)
+    found, extra = _search(docs, precision)
     i, h, spans, more = (unused(docs, name) for name in ("doc_key", "text_key", "spans", "more_spans"))
     out = docs.withColumn(spans, _of_kinds(base_spans(F.col("text"))))
     if extra is not None:

@@ -108,3 +108,24 @@ def test_a_kind_with_few_calibration_rows_goes_by_all_kinds():
     assert _limit(others, 0.99) == 0.6  # no row of its own
     assert _limit(others + [(True, 45, 3, 3.0)], 0.99) == 0.6 and _limit(others + [(True, 45, 3, 0.0)], 0.99) == 0.92
     assert _limit([(True, 49, 50, 0.0)], 0.99) is None and _limit([], 0.99) is None
+
+
+def test_trees_and_thresholds_see_every_labelled_proposal(spark, monkeypatch):
+    """Of more than 20,000 labelled proposals none is left out, nor what is made of them."""
+    seen, write = {}, op6_pii.written
+
+    class Enough(Exception):
+        pass
+
+    def written(df, name, **options):
+        seen[name] = write(df, name, **options)
+        if name == "pii-weighed":
+            raise Enough
+        return seen[name]
+
+    monkeypatch.setattr(op6_pii, "written", written)
+    rows = [(i, " ".join(f"mail u{i}x{j}@host{j}.org now" for j in range(15))) for i in range(1500)]
+    with pytest.raises(Enough):
+        op6_pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    told = seen["pii-proposals"].where("label IS NOT NULL").count()
+    assert told >= 22_000 and seen["pii-weighed"].agg(F.sum("n")).first()[0] == told + seen["pii-made"].count()
