@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,12 @@ def test_evidence_markdown(spark):
     rows = column(spark, [("t", [1, 2], "x"), ("t", [], "")], T.evidence_markdown, R.EVIDENCE)
     assert rows == ["t\n   - 证据页码：第 1, 2 页\n   - 原文依据：x", "t"]
     assert column(spark, [("t", [1, 2], "x"), ("t", [], "")], T.evidence_cell, R.EVIDENCE) == ["t（第1, 2页）", "t"]
+
+
+def test_pieces_go_by_ascii_classes(spark):
+    texts = ["", "一二三四五六七八九十十一。短！abcdefghijklm？ no", "a b c d e f g. h! ij", "。。", "x" * 12 + "？" + "y" * 10 + "." + "z" * 11]
+    count = T.pieces(F.col("t"), ".!?。！？", 10)
+    pattern = count._jc.toString()
+    assert "[^.!?]" in pattern
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(count.alias("n")).collect()]
+    assert got == [sum(len(p.strip()) > 10 for p in re.split("[.!?。！？]+", t)) for t in texts]
