@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.sources.papers import scratch_path
 from scriptorium.sources.ranges import numbered_within
+from scriptorium.sources.scratch import stored
 
 #: Queries that are broadcast at most; more of them become rows beside the store, in blocks of so many.
 QUERY_BLOCK = 10_000
@@ -55,8 +56,11 @@ def embed_from(rows: DataFrame, vectors: DataFrame, key: str, batch: str | None
 
 
 def in_batches(rows: DataFrame, group: str, *order: str, most: int = 64) -> DataFrame:
-    """``rows`` with ``batch_no``, from 1: each ``group``'s rows in ``order``, ``most`` to a call of an embedder."""
-    numbered = numbered_within(rows, group, *order, name="_n")
+    """``rows`` with ``batch_no``, from 1: each ``group``'s rows in ``order``, ``most`` to a call of an embedder.
+
+    Rows are written first, since ranges are cut by a pass of its own over them.
+    """
+    numbered = numbered_within(stored(rows, "batches"), group, *order, name="_n")
     return numbered.withColumn("batch_no", F.floor((F.col("_n") - 1) / most).cast("long") + 1).drop("_n")
 
 
@@ -66,9 +70,9 @@ def batch_report(rows: DataFrame, vectors: DataFrame, key: str, group: str) -> D
     A batch is stored whole or not at all: where rows have no vector, or vectors of
     different lengths, none of its rows are, and ``failure`` says why.
     """
-    size = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
-    known = vectors.groupBy(key).agg(F.max("embedding").alias("embedding"))
-    per = rows.select(key, group, "batch_no").join(known, key, "left").groupBy(group, "batch_no").agg(F.count("*").alias("sent"), F.count_if(F.col("embedding").isNull()).alias("missing"), F.min(size).alias("least"), F.max(size).alias("most"))
+    # only lengths meet the rows, not vectors
+    known = vectors.groupBy(key).agg(F.max("embedding").alias("embedding")).where("embedding IS NOT NULL").select(key, F.size("embedding").alias("size"))
+    per = rows.select(key, group, "batch_no").join(known, key, "left").groupBy(group, "batch_no").agg(F.count("*").alias("sent"), F.count_if(F.col("size").isNull()).alias("missing"), F.min("size").alias("least"), F.max("size").alias("most"))
     failure = F.when(F.col("missing") > 0, "missing vectors").when(F.col("least") != F.col("most"), "mixed lengths")
     return per.withColumn("failure", failure).select(group, "batch_no", "sent", "missing", F.when(F.col("failure").isNull(), F.col("sent")).otherwise(0).cast("long").alias("stored"), "failure")
 

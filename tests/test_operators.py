@@ -302,3 +302,53 @@ def test_small_blocks_of_queries_do_not_copy_the_store(spark):
     asked = store.where("vec_id < 200").selectExpr("vec_id as query_id", "embedding as q")
     plan = V.knn(asked, store, 4, query_block=2, page_rows=64)._jdf.queryExecution().analyzed().toString()
     assert "0" in re.findall(r"explode\(sequence\(0, (\d+)", plan)  # one lot, so one copy of each page
+
+
+def counting(spark, rows, column):
+    """``rows`` whose ``column`` counts each time that it is computed, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    return rows.withColumn(column, F.udf(count, rows.schema[column].dataType)(column)), seen
+
+
+def test_batches_compute_their_rows_once(spark):
+    rows, seen = counting(spark, spark.createDataFrame([("a", i, f"t{i}") for i in range(50)], "source string, page int, text string"), "text")
+    assert V.in_batches(rows, "source", "page", most=8).where("text is not null").count() == 50 and seen.value == 50
+
+
+def test_batch_report_joins_lengths_not_vectors(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("b", 1, 2), ("b", 2, 3)], "source string, batch_no long, vec_id int")
+    vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [1.0, 2.0]), (3, None)], "vec_id int, embedding array<double>")
+    report = V.batch_report(rows, vectors, "vec_id", "source")
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan[plan.index("Join") : plan.index("\n", plan.index("Join"))] and "embedding" not in plan.split("Join")[0]
+    assert sorted(map(tuple, report.collect()), key=repr) == [("a", 1, 2, 0, 2, None), ("b", 1, 1, 0, 1, None), ("b", 2, 1, 1, 0, "missing vectors")]
+
+
+def answered(spark):
+    papers = spark.createDataFrame([(f"p{i}.pdf", f"P{i}", "x" * 300) for i in range(20)], "path string, title string, full_text string")
+    responses, seen = counting(spark, papers.select("path", F.lit('{"authors": []}').alias("response")), "response")
+    return P.paper_records(papers, responses), seen
+
+
+def test_review_list_reads_answers_once(spark):
+    records, seen = answered(spark)
+    assert P.review_list(records, "then").count() == 21 and seen.value == 20
+
+
+def test_reports_read_answers_once(spark, tmp_path):
+    records, seen = answered(spark)
+    P.write_reports(records, str(tmp_path / "reports"), "then")
+    assert spark.read.json(f"{tmp_path}/reports/records").count() == 20 and seen.value == 20
+
+
+def test_store_steps_make_chunks_once(spark, sf, monkeypatch):
+    chunks, seen = counting(spark, registry.doc_chunks(spark, sf), "text")
+    n = registry.doc_chunks(spark, sf).count()
+    monkeypatch.setattr(registry, "doc_chunks", lambda *_: chunks)
+    registry.queries()["store_steps"](spark, sf)
+    assert seen.value < 2 * n  # a filter and what it filters compute the column each
