@@ -27,64 +27,90 @@ def stream_ingest(spark: SparkSession, source: str, schema, store: str, checkpoi
 class Memory(StatefulProcessor):
     """A conversation's turns in order, whatever order they come in.
 
-    ``last`` lists the last messages that were answered; ``early`` holds turns that came
-    before one of their predecessors, by number; ``place`` is the number of the next turn,
-    and the question that is still without an answer. A turn is worked on when all before
-    it were, or when ``patience`` milliseconds passed without the missing one.
+    ``place`` is the number of the next turn, the question that is still without an answer,
+    the last messages that were answered, and turns that came before one of their
+    predecessors. A turn is worked on when all before it were, or when ``patience``
+    milliseconds passed without the missing one.
+
+    A call to the state costs far more than a turn's own work, so most conversations read and
+    write ``place`` once a micro-batch. Early turns beyond ``few`` (or ``chars`` of text) go to
+    ``filed`` one by one, and a task holds no more than ``held`` turns of a conversation.
     """
 
-    def __init__(self, most: int, patience: int):
-        self.most, self.patience = most, patience
+    def __init__(self, most: int, patience: int, few: int = 64, chars: int = 100_000, held: int = 1000):
+        self.most, self.patience, self.few, self.chars, self.held = most, patience, few, chars, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getListState("last", "role string, text string")
-        self.early = handle.getMapState("early", "turn bigint", "role string, text string")
-        self.place = handle.getValueState("place", "next bigint, waiting string, open boolean")
+        self.place = handle.getValueState("place", "next bigint, waiting string, open boolean, last array<string>, filed boolean, turns array<bigint>, roles array<string>, texts array<string>")
+        self.filed = handle.getMapState("filed", "turn bigint", "role string, text string")
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator[Row]:
-        place = self.place.get() if self.place.exists() else (0, None, False)
-        # a batch's turns of a conversation go to the state one by one, not into a sorted list
+        talk = _Talk(self.place.get())
         for r in rows:
-            if r.turn >= place[0]:
-                self.early.updateValue((r.turn,), (r.role, r.text))
-        yield from self._advance(key, place, [])
-        if self.patience and self.early.exists():
+            if r.turn >= talk.turn:
+                talk.early[r.turn] = (r.role, r.text)
+            if len(talk.early) >= self.held:
+                yield from self._advance(key, talk)
+                self._file(talk)
+        yield from self._advance(key, talk)
+        self._keep(talk)
+        if self.patience and (talk.early or talk.filed):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The missing turns did not come: go on with the earliest that did."""
-        there = sorted(k[0] for k in self.early.keys())
-        if there:
-            place = self.place.get()
-            yield from self._advance(key, (there[0], place[1], place[2]), there)
-
-    def _advance(self, key, place, also: list[int]) -> Iterator[Row]:
-        turn, waiting, is_open = place
-        kept = [(r[0], r[1]) for r in self.last.get()] if self.last.exists() else []
+        talk = _Talk(self.place.get())
+        for turn in sorted({*talk.early, *(k[0] for k in self.filed.keys())} if talk.filed else talk.early):
+            if turn >= talk.turn:
+                talk.turn = turn
+                yield from self._advance(key, talk)
+        self._keep(talk)
+
+    def _advance(self, key, talk: _Talk) -> Iterator[Row]:
+        """Work on turns as far as none is missing."""
         while True:
-            if not self.early.containsKey((turn,)):
-                later = [t for t in also if t > turn]
-                if not later:
-                    break
-                turn = later[0]
-            role, text = self.early.getValue((turn,))
-            self.early.removeKey((turn,))
+            came = talk.early.pop(talk.turn, None)
+            if talk.filed and (filed := self.filed.getValue((talk.turn,))) is not None:
+                self.filed.removeKey((talk.turn,))
+                came = came or filed
+            if came is None:
+                return
+            role, text = came
             if role == "user":
-                yield Row(conv_id=key[0], turn=turn, n_history=len(kept), history="\n".join(f"{r}: {x}" for r, x in kept if x is not None))
-                waiting, is_open = text, True
+                yield Row(conv_id=key[0], turn=talk.turn, n_history=len(talk.last), history="\n".join(x for x in talk.last if x is not None))
+                talk.waiting, talk.open = text, True
             elif role == "assistant":
-                kept = (kept + ([("user", waiting)] if is_open else []) + [("assistant", text)])[-self.most :]
-                waiting, is_open = None, False
-            turn += 1
-        if kept:
-            self.last.put([(r, x) for r, x in kept])
-        self.place.update((turn, waiting, is_open))
+                answered = [("user", talk.waiting)] * talk.open + [("assistant", text)]
+                talk.last = (talk.last + [None if x is None else f"{r}: {x}" for r, x in answered])[-self.most :]
+                talk.waiting, talk.open = None, False
+            talk.turn += 1
+
+    def _file(self, talk: _Talk) -> None:
+        """Early turns that are too many for ``place``, one by one into the state."""
+        if len(talk.early) > self.few or sum(len(text or "") for _, text in talk.early.values()) > self.chars:
+            for turn, came in talk.early.items():
+                self.filed.updateValue((turn,), came)
+            talk.early, talk.filed = {}, True
+
+    def _keep(self, talk: _Talk) -> None:
+        self._file(talk)
+        talk.filed = talk.filed and self.filed.exists()
+        roles, texts = [c[0] for c in talk.early.values()], [c[1] for c in talk.early.values()]
+        self.place.update((talk.turn, talk.waiting, talk.open, talk.last, talk.filed, list(talk.early), roles, texts))
 
     def close(self) -> None:
         pass
 
 
+class _Talk:
+    """What a task has in hand of one conversation: its ``place``, with early turns by number."""
+
+    def __init__(self, place):
+        self.turn, self.waiting, self.open, self.last, self.filed, turns, roles, texts = place or (0, None, False, [], False, [], [], [])
+        self.early = dict(zip(turns, zip(roles, texts)))
+
+
 def stream_chat_memory(turns: DataFrame, most: int = 6, patience: int = 0) -> DataFrame:
     """(conv_id, turn, n_history, history) of each user turn of a stream of conversation rows.
 

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scriptorium.operators import answers as A
@@ -279,6 +280,97 @@ def test_a_gap_is_given_up_after_patience(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("patient").collect()) == [(2, 1, 0, ""), (2, 4, 2, "user: early\nassistant: a")]
 
 
+class States:
+    """State of one conversation, as a processor's handle gives it; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.there, self.timers = 0, {}, []
+
+    def _state(self, name, *_):
+        return State(self, name)
+
+    getValueState = getListState = getMapState = _state
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def __getattr__(self, call):
+        self.handle.calls += 1
+        there, name = self.handle.there, self.name
+        return {
+            "exists": lambda: bool(there.get(name)),
+            "get": lambda: there.get(name),
+            "put": lambda v: there.update({name: v}),
+            "update": lambda v: there.update({name: v}),
+            "getValue": lambda k: there.get(name, {}).get(k),
+            "containsKey": lambda k: k in there.get(name, {}),
+            "updateValue": lambda k, v: there.setdefault(name, {}).update({k: v}),
+            "removeKey": lambda k: there[name].pop(k),
+            "keys": lambda: iter(list(there.get(name, {}))),
+        }[call]
+
+
+class Now:
+    getCurrentProcessingTimeInMs = staticmethod(lambda: 0)
+
+
+def _talk(n):
+    return [Row(conv_id=1, turn=t, role="user" if t % 2 == 0 else "assistant", text=f"m{t}") for t in range(n)]
+
+
+def _answers(n):
+    return [(t, "\n".join(f"{'user' if s % 2 == 0 else 'assistant'}: m{s}" for s in range(max(0, t - 6), t))) for t in range(0, n, 2)]
+
+
+def test_a_conversation_costs_two_state_calls_a_micro_batch():
+    states, memory, turns = States(), G.Memory(6, 0), _talk(8)
+    memory.init(states)
+    out = []
+    for batch in (turns[5:], turns[2:4], turns[:2] + turns[4:5]):
+        before = states.calls
+        out += memory.handleInputRows((1,), iter(batch), Now)
+        assert states.calls - before <= 2
+    assert [(r["turn"], r["history"]) for r in out] == _answers(8)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"few": 3, "held": 7}, {"chars": 20}])
+def test_early_turns_of_long_conversations_are_filed(bounds):
+    """Turns in any order, each twice; every turn comes out once, and a file that was emptied is not asked again."""
+    turns = _talk(600) * 2
+    turns = [turns[i] for i in np.random.default_rng(3).permutation(len(turns))]
+    states, memory, out = States(), G.Memory(6, 0, **bounds), []
+    memory.init(states)
+    for k in range(0, len(turns), 150):
+        out += memory.handleInputRows((1,), iter(turns[k : k + 150]), Now)
+    assert [(r["turn"], r["history"]) for r in out] == _answers(600)
+    assert not states.there.get("filed")
+    before = states.calls
+    assert not list(memory.handleInputRows((1,), iter(_talk(3)), Now)) and states.calls - before == 2
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_gaps_are_given_up_whether_turns_are_filed_or_not(few):
+    states, memory = States(), G.Memory(6, 500, few=few)
+    memory.init(states)
+    rows = [r for r in _talk(30) if r["turn"] not in (0, 3, 11, 12)]
+    assert not list(memory.handleInputRows((1,), iter(rows[::-1]), Now)) and states.timers == [500]
+    out = list(memory.handleExpiredTimer((1,), Now, None))
+    assert [r["turn"] for r in out] == [t for t in range(2, 30, 2) if t != 12] and out[-1]["history"] == _answers(30)[14][1]
+    assert not states.there.get("filed") and not list(memory.handleExpiredTimer((1,), Now, None))
+
+
+def test_the_chat_stream_has_four_micro_batches_of_many_files(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry.S, "scratch_path", lambda *_: f"{tmp_path}/stream")
+    registry.queries()["stream_chat_memory"](spark, sf)
+    assert len(list(tmp_path.glob("stream/in/**/part-*"))) > 4
+    assert sorted(p.name for p in tmp_path.glob("stream/state/commits/[0-9]*")) == ["0", "1", "2", "3"]
+
+
 def test_distances_are_held_a_tile_at_a_time():
     import tracemalloc
 
